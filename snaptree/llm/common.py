@@ -51,5 +51,5 @@ def drop_saved(df: DataFrame) -> None:
 
 def tasks_for(df: DataFrame, mb_each: float, least: int = 1) -> int:
     """Number of tasks so that each gets about mb_each of df's source bytes."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(least, min(1_000_000, int(size / 1e6 / mb_each) + 1))
