@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 #: Distinct pre-tokens whose ids a worker remembers at most.
-MEMO = 400_000
+MEMO = 600_000
 #: Keys in a bucket of the perfect hash, about.
 BUCKET = 4
 
@@ -69,36 +69,33 @@ def _slot(h: int, d: int, n: int) -> int:
     return ((x >> 32) * n) >> 32
 
 
-def merge(piece: bytes, ranks) -> list[int]:
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a pre-token: the pair of least rank merges first, the leftmost of equals."""
     n = len(piece)
     ends = list(range(1, n + 1))  # ends[i]: where the run that starts at i ends; 0 once it is merged away
     before = list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        r = ranks(piece[i : i + 2])
-        if r is not None:
-            heap.append((r, i, i + 2))
+    rank, push, pop = ranks.get, heapq.heappush, heapq.heappop
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
     while heap:
-        r, i, end = heapq.heappop(heap)
+        _, i, end = pop(heap)
         mid = ends[i]
         if not mid or mid >= n or ends[mid] != end:
             continue  # one of the two runs has changed since
         ends[i], ends[mid] = end, 0
         if end < n:
             before[end] = i
-            q = ranks(piece[i : ends[end]])
-            if q is not None:
-                heapq.heappush(heap, (q, i, ends[end]))
-        if (j := before[i]) >= 0:
-            q = ranks(piece[j:end])
-            if q is not None:
-                heapq.heappush(heap, (q, j, end))
+            z = ends[end]
+            if (q := rank(piece[i:z])) is not None:
+                push(heap, (q, i, z))
+        j = before[i]
+        if j >= 0 and (q := rank(piece[j:end])) is not None:
+            push(heap, (q, j, end))
     out, i = [], 0
     while i < n:
-        out.append(ranks(piece[i : ends[i]]))
-        i = ends[i]
+        z = ends[i]
+        out.append(ranks[piece[i:z]])
+        i = z
     return out
 
 
@@ -106,19 +103,25 @@ class Codec:
     """Encodes and decodes texts; the ids of recent distinct pre-tokens are remembered, MEMO at most."""
 
     def __init__(self, vocabulary: dict[bytes, int], pattern: str):
-        import regex
-
-        self.table = PerfectHash(vocabulary)
-        self.split = regex.compile(pattern).findall
+        self.ranks, self.pattern, self.table = vocabulary, pattern, PerfectHash(vocabulary)
         self.tokens = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for k, v in vocabulary.items():
             self.tokens[v] = k
-        self.memo = _Memo(self)
+        self.__setstate__({})
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo")}
+
+    def __setstate__(self, state):
+        import regex
+
+        self.__dict__.update(state)
+        self.split, self.memo = regex.compile(self.pattern).findall, _Memo(self)
 
     def ids_of(self, pretoken: str) -> bytes:
         b = pretoken.encode("utf-8")
         whole = self.table.get(b)
-        ids = [whole] if whole is not None else merge(b, self.table.get)
+        ids = [whole] if whole is not None else merge(b, self.ranks)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
@@ -159,13 +162,14 @@ def digests(df: DataFrame, key: str, text: str, vocabulary: dict[bytes, int], pa
 
 
 def _run(df, key, text, vocabulary, pattern, short):
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # a fixed file, 50,256 entries, under 1 MB
+    # made once, from a fixed file of 50,256 entries (a few MB); a worker keeps what it remembers from task to task
+    shared = df.sparkSession.sparkContext.broadcast(Codec(vocabulary, pattern))
     kind = df.select(key).schema[0].dataType.simpleString()
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256"] if short else [key, "n_tokens", "ids", "decoded"]
     types = [pa.int64(), pa.string(), pa.string()] if short else [pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
-        codec = Codec(shared.value, pattern)
+        codec = shared.value
         for b in batches:
             n, ids, back = [], [], []
             for t in b.column(1).to_pylist():
