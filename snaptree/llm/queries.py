@@ -3,13 +3,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, html, itq, minhash, packing, quality, urlrules, warc
+from . import bpe, html, itq, lm, minhash, packing, pii, quality, urlrules, warc
 from .common import table
 
 #: The rules of op5 (fixed values).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
+def op1_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_html(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -55,7 +59,11 @@ def op9_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_html, op3_packing, op4_embeddings, op5_urls, op6_warc, op7_quality, op8_bpe, op9_minhash)}
+def op10_lm(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_html, op3_packing, op4_embeddings, op5_urls, op6_warc, op7_quality, op8_bpe, op9_minhash, op10_lm)}
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
