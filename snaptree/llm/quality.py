@@ -142,4 +142,7 @@ def quality(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFra
 
 def keep_good(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The rows of df that pass; their columns are unchanged."""
-    return quality(df, text, thresholds).where("kept").select(*df.columns)
+    judged = quality(df, text, thresholds)
+    # the id is a barrier: without it the filter would be pushed below the projections, with all of them copied into it
+    judged = judged.withColumn("_ok", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    return judged.where("_ok").select(*df.columns)
