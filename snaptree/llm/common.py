@@ -53,3 +53,24 @@ def tasks_for(df: DataFrame, mb_each: float, least: int = 1) -> int:
     """Number of tasks so that each gets about mb_each of df's source bytes."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(least, min(1_000_000, int(size / 1e6 / mb_each) + 1))
+
+
+#: Bits of the filter that split_by() broadcasts: 1 MB, whatever the number of ids.
+FILTER_BITS = 1 << 23
+
+
+def split_by(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose key may be in ids, rows whose key is surely not), by a hashed bitmap of a fixed size.
+
+    It spares the shuffle of rows that a join with ids would not touch; with many ids the first part nears df.
+    Null keys are in the second part.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    marks = ids.select(at(ids.columns[0]).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_map"))
+    marks = F.broadcast(saved(marks))  # FILTER_BITS / 8 bytes at most
+    p = F.when(F.col(key).isNotNull(), at(F.col(key).cast("bigint")))
+    tested = df.withColumn("_bucket", F.bitmap_bucket_number(p)).join(marks, "_bucket", "left")
+    bit = F.bitmap_bit_position(p)
+    byte = F.conv(F.hex(F.substring("_map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))
+    return tested.where(hit).select(*df.columns), tested.where(~hit).select(*df.columns)

@@ -20,15 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, tasks_for
+from .common import saved, split_by, tasks_for
 from .components import components
 
 #: Coordinates of a signature, places on the ring, and the permutations' seed.
 COORDINATES, RING, SEED = 120, 1 << 20, 20
 #: A pair at the threshold may be missed with this probability at most.
 MISS = 1e-4
-#: Members that one task compares with a hub; shingles in a block of a bucket.
-HUB_MEMBERS, BLOCK_SHINGLES = 500, 200_000
+#: Members that one task compares with a hub; shingles in a block of a bucket, where a text counts as
+#: so many more (a block has 1,000 texts at most, about).
+HUB_MEMBERS, BLOCK_SHINGLES, LEAST_WEIGHT = 500, 200_000, 200
 #: Distinct words whose hashes a worker remembers at most.
 MEMO = 500_000
 
@@ -235,7 +236,7 @@ def _in_blocks(k: int, percent: int):
 
 def candidates(classes: DataFrame) -> DataFrame:
     """bucket, id, n, total: band buckets that hold two classes or more; total: sizes of all the id's buckets."""
-    rows = saved(classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct())
+    rows = saved(classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")))
     several = saved(rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"))
     rows = saved(rows.join(several, "bucket"))
     total = saved(rows.groupBy("id").agg(F.sum("c").alias("total")))
@@ -248,8 +249,8 @@ def links(docs: DataFrame, key: str, text: str, classes: DataFrame, k: int, perc
     hubs = saved(member.groupBy("bucket").agg(F.max(F.struct("total", (-F.col("id")).alias("id"))).alias("h")).select("bucket", (-F.col("h.id")).alias("hub")))
     pairs = saved(member.join(hubs, "bucket").where("id <> hub").select("hub", "id").distinct())
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    involved = member.select("id").distinct()
-    texts = saved(texts.join(involved, "id", "left_semi").dropDuplicates(["id"]))
+    involved = saved(member.select("id").distinct())
+    texts = saved(split_by(texts, "id", involved)[0].join(involved, "id", "left_semi").dropDuplicates(["id"]))
     # each hub's text goes to as many tasks as its members fill
     salts = saved(pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("salts")))
     salted = pairs.join(salts, "hub").select("hub", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), "id")
@@ -262,7 +263,7 @@ def links(docs: DataFrame, key: str, text: str, classes: DataFrame, k: int, perc
     placed = saved(member.join(comp, "id", "left").select("bucket", "id", "n", F.coalesce("component_id", "id").alias("comp")))
     mixed = saved(placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2"))
     # the component that holds most of a bucket is not compared with itself
-    by_comp = placed.join(mixed.select("bucket"), "bucket").groupBy("bucket", "comp").agg(F.sum("n").alias("s"))
+    by_comp = placed.join(mixed.select("bucket"), "bucket").groupBy("bucket", "comp").agg(F.sum(F.col("n") + LEAST_WEIGHT).alias("s"))
     by_comp = saved(by_comp)
     main = by_comp.groupBy("bucket").agg(F.max(F.struct("s", "comp")).alias("m"), F.sum("s").alias("all"))
     blocks = lambda c: F.ceil(c / BLOCK_SHINGLES).cast("int")
@@ -308,3 +309,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     done = of.join(comp, "rep", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "rep", "id").alias("component_id"))
     rest = sig.where("id is null").select(F.col("id").alias(key), "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
     return done.unionByName(rest).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+
+
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df that near_duplicates() keeps; their columns are unchanged."""
+    found = near_duplicates(df, key, text, k, percent)
+    gone = saved(found.where("not kept").select(F.col(key).alias("_gone")).distinct())
+    maybe, stay = split_by(df, key, gone)
+    return stay.unionByName(maybe.join(gone, F.col(key) == F.col("_gone"), "left_anti"))
