@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array; null and blank texts give an empty one."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITESPACE), lambda w: w != "")
@@ -73,4 +78,4 @@ def split_by(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFr
     bit = F.bitmap_bit_position(p)
     byte = F.conv(F.hex(F.substring("_map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))
-    return tested.where(hit).select(*df.columns), tested.where(~hit).select(*df.columns)
+    return tested.where(hit).select(*columns(df)), tested.where(~hit).select(*columns(df))

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns
+
 #: Rounds of the network; steps of a walk that ends in the calendar (each step ends it with probability 0.998).
 ROUNDS, WALK = 8, 12
 #: A key for tests and demonstrations; production gives its own.
@@ -205,7 +207,7 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame
     Null and empty texts stay null and empty; repeated rows are changed alike.
     """
     changed = pseudonymised(F.col(text), F.lit(key)).alias(text)
-    return df.select(*[changed if c == text else F.col(f"`{c}`") for c in df.columns])
+    return df.select(*[changed if name == text else c for name, c in zip(df.columns, columns(df), strict=True)])
 
 
 def report(df: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import columns, words
 
 #: Frequent function words of English, German, French and Spanish (fixed values).
 STOP_WORDS = (
@@ -102,7 +102,7 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
         repeat.alias("n_repeat_words"),
         F.size(F.array_intersect(stops, F.transform(F.slice(w, 1, 2_000_000_000), F.lower))).cast("bigint").alias("n_stop_words"),
     )
-    return t.select(*df.columns, q.alias("_q"))
+    return t.select(*columns(df), q.alias("_q"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -145,4 +145,4 @@ def keep_good(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataF
     judged = quality(df, text, thresholds)
     # the id is a barrier: without it the filter would be pushed below the projections, with all of them copied into it
     judged = judged.withColumn("_ok", F.col("kept") & (F.monotonically_increasing_id() >= 0))
-    return judged.where("_ok").select(*df.columns)
+    return judged.where("_ok").select(*columns(df))
