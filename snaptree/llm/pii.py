@@ -16,16 +16,20 @@ from pyspark.sql import functions as F
 
 from .common import columns
 
+#: Symbols of a half from which the network draws from the half's digest, so that its cost does not grow with the square.
+LONG = 129
 #: Rounds of the network; steps of a walk that ends in the calendar (each step ends it with probability 0.998).
 ROUNDS, WALK = 8, 12
 #: A key for tests and demonstrations; production gives its own.
 KEY = "snaptree-demo-key"
 
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-#: Forms of each kind; the first that fits counts (fixed values).
+#: Dotted forms that a run of digits stops before.
+_DOTTED = r"(?:[0-9]{1,3}\.){3}[0-9]|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{3}\.[0-9]{3}[. -][0-9]{4}|[0-9]{3}[ -][0-9]{3}\.[0-9]{4}"
+#: Forms of each kind; the first that fits counts (fixed values).  A card's form is a whole run of digits, see _run.
 FORMS = (
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("named", r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*(?:\"[^\"\s]{4,256}\"|'[^'\s]{4,256}'|[A-Za-z0-9_+/=.-]{4,256})"),
+    ("named", r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*(?:\"[^\"\s]{4,}+\"|'[^'\s]{4,}+'|[A-Za-z0-9_+/=.-]{4,}+)"),
     ("access", _EDGE + r"(?:AKIA|ASIA)[0-9A-Z]{12,20}" + _END),
     ("ipv4", r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])"),
     ("iso_date", r"(?<![\p{L}\p{N}-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\p{L}\p{N}]|-[0-9])"),
@@ -34,11 +38,13 @@ FORMS = (
     ("phone", r"(?<![\p{L}\p{N}+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _END),
     ("phone", r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}" + _END),
     ("phone", _EDGE + r"(?:\([0-9]{3}\) ?|[0-9]{3}[. -])[0-9]{3}[. -][0-9]{4}" + _END),
-    ("card", _EDGE + r"[0-9](?:[ -]?[0-9]){12,18}" + _END),
+    ("card", _EDGE + r"(?=[0-9](?:[ -]?[0-9]){12})[0-9]++" + _END + rf"(?:[ -](?!{_DOTTED})[0-9]++{_END})*+"),
     ("iban", _EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END),
-    ("hex", _EDGE + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})" + _END),
+    ("hex", _EDGE + r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)" + _END),
 )
 PATTERN = "|".join(form for _, form in FORMS)
+#: All forms but the card's, for what a run of digits holds besides cards.
+REST = "|".join(form for kind, form in FORMS if kind != "card")
 _LOW, _UP, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Days of 1900-01-01 to 2099-12-31, and two radices whose product is little more.
 DAYS, DAY_RADICES = 73049, (270, 271)
@@ -56,15 +62,25 @@ def feistel(values: Column, radices: Column, tweak: str, key: Column) -> Column:
         n = F.size(x["v"])
         h = F.floor(n / 2).cast("int")
         part = lambda a: (F.slice(a, 1, h), F.slice(a, h + 1, n - h))
-        (a, b), (ra, rb) = part(x["v"]), part(x["r"])
+        a, b = part(x["v"])
 
-        def add(own, rad, other, i):
-            drawn = lambda p: F.conv(F.substring(F.sha2(F.concat_ws("|", key, F.lit(tweak), i.cast("string"), p.cast("string"), F.array_join(other.cast("array<string>"), ",")), 256), 1, 8), 16, 10).cast("bigint")
-            return F.transform(own, lambda v, p: F.pmod(v.cast("bigint") + drawn(p), F.get(rad, p).cast("bigint")).cast("int"))
+        def drawn(half, i, p):
+            return F.conv(F.substring(F.sha2(F.concat_ws("|", key, F.lit(tweak), i.cast("string"), p.cast("string"), half), 256), 1, 8), 16, 10).cast("bigint")
 
-        start = F.struct(a.alias("a"), b.alias("b"))
-        step = lambda s, i: F.struct(F.when(i % 2 == 0, add(s["a"], ra, s["b"], i)).otherwise(s["a"]).alias("a"), F.when(i % 2 == 1, add(s["b"], rb, s["a"], i)).otherwise(s["b"]).alias("b"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["a"], s["b"]))
+        def add(own, skip, half, i):
+            return F.transform(own, lambda v, p: F.pmod(v.cast("bigint") + drawn(half, i, p), F.get(x["r"], p + skip).cast("bigint")).cast("int"))
+
+        def step(s, j):
+            """Of the two steps of a round the first writes the other half out, once for all symbols."""
+            i = F.floor(j / 2).cast("int")
+            other = F.when(i % 2 == 0, s["b"]).otherwise(s["a"])
+            joined = F.array_join(other.cast("array<string>"), ",")
+            half = F.when(j % 2 == 1, s["h"]).when(F.size(other) >= LONG, F.sha2(joined, 256)).otherwise(joined)
+            turn = lambda n: (j % 2 == 1) & (i % 2 == n)
+            return F.struct(F.when(turn(0), add(s["a"], F.lit(0), s["h"], i)).otherwise(s["a"]).alias("a"), F.when(turn(1), add(s["b"], h, s["h"], i)).otherwise(s["b"]).alias("b"), half.alias("h"))
+
+        start = F.struct(a.alias("a"), b.alias("b"), F.lit("").alias("h"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(2 * ROUNDS - 1)), start, step, lambda s: F.concat(s["a"], s["b"]))
 
     return _let(F.struct(values.alias("v"), radices.alias("r")), halves)
 
@@ -125,11 +141,52 @@ def _other_day(days: Column, key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(WALK - 1)), days.cast("int"), step)
 
 
+def _is_card(digits: Column) -> Column:
+    return F.length(digits).between(13, 19) & digits.rlike("[1-9]") & (_luhn_sum(F.substr(digits, F.lit(1), F.length(digits) - 1)) % 10 == F.pmod(-F.substr(digits, F.length(digits), F.lit(1)).cast("int"), F.lit(10)))
+
+
+def _parts(m: Column) -> Column:
+    """A run of digits cut into its cards and what lies between them, array of struct card, t.
+
+    The run is one card if it is valid as a whole; else cards are sought between its separators from the left, those of
+    16 digits first: another length counts only if no valid 16 digits start within it.
+    """
+    joined = lambda p, i, k: F.array_join(F.slice(p, i + 1, k), "")
+    few = lambda p, i, k: F.array_join(F.transform(F.sequence(i, i + k - 1), lambda j: F.get(p, j)), "")  # noqa: E731  # slice copies all of p
+
+    def at(p, i):
+        """Groups of the cards that start at group i, those of 16 digits first."""
+        sizes = F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(p) - i)), lambda k: F.struct(k.alias("k"), F.regexp_replace(few(p, i, k), "[ -]", "").alias("d")))
+        good = F.filter(F.filter(sizes, lambda c: F.length(c["d"]).between(13, 19)), lambda c: _is_card(c["d"]))
+        return F.sort_array(F.transform(good, lambda c: F.struct((F.length(c["d"]) != 16).alias("odd"), (-c["k"]).alias("k"))))
+
+    def cut(x):
+        p, found = x["p"], x["f"]
+
+        def step(s, i):
+            best = F.get(F.get(found, i), F.lit(0))
+            k = -best["k"]
+            later = F.exists(F.sequence(i, i + k - 1), lambda j: F.coalesce((j > i) & ~F.get(F.get(found, j), F.lit(0))["odd"], F.lit(False)))
+            take = (i >= s["next"]) & best.isNotNull() & (~best["odd"] | ~later)
+            gap = F.struct(F.lit(False).alias("card"), joined(p, s["next"], i - s["next"]).alias("t"))
+            card = F.struct(F.lit(True).alias("card"), few(p, i, k).alias("t"))
+            return F.when(F.coalesce(take, F.lit(False)), F.struct((i + k).alias("next"), F.concat(s["out"], F.array(gap, card)).alias("out"))).otherwise(s)
+
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<card:boolean,t:string>>").alias("out"))
+        end = lambda s: F.concat(s["out"], F.array(F.struct(F.lit(False).alias("card"), joined(p, s["next"], F.size(p) - s["next"]).alias("t"))))
+        return F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), start, step, end)
+
+    pieces = F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0))
+    searched = _let(pieces, lambda p: F.struct(p.alias("p"), F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: at(p, i)).alias("f")))
+    return F.when(_is_card(F.regexp_replace(m, "[^0-9]", "")), F.array(F.struct(F.lit(True).alias("card"), m.alias("t")))).otherwise(_let(searched, cut))
+
+
 def _pseudonym(m: Column, key: Column) -> Column:
     """The pseudonym of a match; matches that are not valid stay as they are."""
     digits = F.regexp_replace(m, "[^0-9]", "")
     is_ = {}
     for kind, form in FORMS:
+        form = r"[ -]?[0-9]+(?:[ -][0-9]+)*+" if kind == "card" else form
         own = m.rlike(rf"\A(?:{form})\z")
         is_[kind] = is_[kind] | own if kind in is_ else own
     letters = (_DIGITS, _LOW, _UP)
@@ -167,13 +224,8 @@ def _pseudonym(m: Column, key: Column) -> Column:
     rest = F.substr(digits, F.length(country) + 1)
     phone = F.when(F.length(digits).between(7, 15), _fill(m, F.concat(country, _symbols(rest, "phone", key, (_DIGITS,))))).otherwise(m)
 
-    def card_of(new):
-        check = F.pmod(-_luhn_sum(new), F.lit(10)).cast("string")
-        return _fill(m, F.concat(new, check))
-
     body = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    luhn = F.pmod(-_luhn_sum(body), F.lit(10)).cast("string") == F.substr(digits, F.length(digits), F.lit(1))
-    card = F.when(luhn & digits.rlike("[1-9]"), _let(_symbols(body, "card", key, (_DIGITS,)), card_of)).otherwise(m)
+    card = _let(_symbols(body, "card", key, (_DIGITS,)), lambda new: _fill(m, F.concat(new, F.pmod(-_luhn_sum(new), F.lit(10)).cast("string"))))
 
     compact = F.regexp_replace(m, " ", "")
     land, account = F.substr(compact, F.lit(1), F.lit(2)), F.substr(compact, F.lit(5))
@@ -187,23 +239,45 @@ def _pseudonym(m: Column, key: Column) -> Column:
 
     return (
         F.when(is_["email"], email).when(is_["named"], named).when(is_["access"], access).when(is_["ipv4"], ip).when(is_["iso_date"], iso)
-        .when(is_["day_date"], F.coalesce(first, second, m)).when(is_["ssn"], ssn).when(is_["phone"], phone).when(is_["card"], card).when(is_["iban"], iban).when(is_["hex"], hexed).otherwise(m)
+        .when(is_["day_date"], F.coalesce(first, second, m)).when(is_["ssn"], ssn).when(is_["phone"], phone).when(is_["card"] & _is_card(digits), card).when(is_["iban"], iban).when(is_["hex"], hexed).otherwise(m)
     )
 
 
+def _token(hit: bool, t: Column) -> Column:
+    return F.array(F.struct(F.lit(hit).alias("hit"), t.alias("t")))
+
+
+def _tokens(text: Column) -> Column:
+    """text cut into its matches and the parts between them, array of struct hit, t; a run of digits is cut further."""
+    card = next(form for kind, form in FORMS if kind == "card")
+    cut = lambda t, form: F.struct(F.split(t, form).alias("p"), F.regexp_extract_all(t, F.lit(form), F.lit(0)).alias("f"))
+    woven = lambda s, hit: F.flatten(F.transform(s["p"], lambda x, i: F.when(F.get(s["f"], i).isNull(), _token(False, x)).otherwise(F.concat(_token(False, x), hit(F.get(s["f"], i))))))
+
+    def inside(m):
+        found = F.flatten(F.transform(_parts(m), lambda x: F.when(x["card"], _token(True, x["t"])).otherwise(woven(cut(x["t"], REST), lambda y: _token(True, y)))))
+        return _let(found, lambda x: F.when(F.exists(x, lambda y: y["hit"]), x).otherwise(_token(True, m)))
+
+    is_run = lambda m: m.rlike(rf"\A(?:{card})\z")
+    return _let(cut(text, PATTERN), lambda s: woven(s, lambda m: F.when(is_run(m), inside(m)).otherwise(_token(True, m))))
+
+
 def pseudonymised(text: Column, key: Column) -> Column:
     """text with all personal data replaced; parts between matches are copied."""
-    pieces, found = F.split(text, PATTERN), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    new = F.transform(found, lambda m: _pseudonym(m, key))
-    whole = _let(F.struct(pieces.alias("p"), new.alias("n")), lambda s: F.array_join(F.transform(s["p"], lambda x, i: F.concat(x, F.coalesce(F.get(s["n"], i), F.lit("")))), ""))
+    whole = F.array_join(F.transform(_tokens(text), lambda x: F.when(x["hit"], _pseudonym(x["t"], key)).otherwise(x["t"])), "")
     return F.when(text.rlike("[0-9@=:]") & text.rlike(PATTERN), whole).otherwise(text)
 
 
+def _n_found(text: Column) -> Column:
+    """Matches in text; a run of digits counts its cards and the other forms in it, and once at least."""
+    return F.when(text.rlike("[0-9@=:]") & text.rlike(PATTERN), F.size(F.filter(_tokens(text), lambda x: x["hit"]))).otherwise(F.lit(0))
+
+
 def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """df with personal data in its text column replaced by pseudonyms; all rows and other columns stay.
 
     Emails (local part), named secrets and access keys, hexadecimal secrets, IPv4 addresses, dates of 1900-2099,
-    social security, phone, card (Luhn) and account (IBAN) numbers.  What has the form but is not valid stays.
+    social security, phone, card (Luhn) and account (IBAN) numbers.  Secrets have no greatest length.  A card is also
+    found among other digits beside it; so digits in a row of numbers may pass for one.  What has the form but is not valid stays.
     Null and empty texts stay null and empty; repeated rows are changed alike.
     """
     changed = pseudonymised(F.col(text), F.lit(key)).alias(text)
@@ -212,4 +286,4 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame
 
 def report(df: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:
     """key, n_found, n_chars and the pseudonymised text of each row of df."""
-    return df.select(F.col(key), F.coalesce(F.regexp_count(F.col(text), F.lit(PATTERN)), F.lit(0)).cast("bigint").alias("n_found"), pseudonymised(F.col(text), F.lit(secret)).alias("text"))
+    return df.select(F.col(key), F.coalesce(_n_found(F.col(text)), F.lit(0)).cast("bigint").alias("n_found"), pseudonymised(F.col(text), F.lit(secret)).alias("text"))

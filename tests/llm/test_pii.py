@@ -67,3 +67,27 @@ def test_forms(spark):
     counts = {r.doc_id: r.n_found for r in pii.report(df).collect()}
     assert counts[6] == counts[7] == counts[8] == 0 and counts[9] == 2000
     assert pii.pseudonymise(df.limit(0)).count() == 0
+
+
+def test_long_secrets_and_cards_among_digits(spark):
+    long, number = "aB3dE6gH9k" * 30, "4111 1111 1111 1111"
+    rows = [
+        (1, f'token="{long}" end'), (2, f"token='{long}' end"), (3, f"secret: {long} end"), (4, "0123456789abcdef" * 9 + " end"), (5, f"token={long * 20} end"),
+        (10, f"card {number} 12/27"), (11, f"id 12 {number}"), (12, f"card {number} 123 99"), (13, f"id 12345 {number} 7"), (14, f"{number} 5500 0000 0000 0004"),
+        (15, f"{number} 2024-01-02"), (16, f"{number} 123-45-6789"), (17, f"{number} 10.20.30.40"), (18, f"{number} 12ab"), (19, "1" * 40), (20, "7 " * 2000),
+        (21, f"id 77 3782-822463-10005 {number} 31.12.1999"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    for i, old in rows[:5]:
+        new = got[i].text
+        assert len(new) == len(old) and new.endswith(" end"), i
+        assert not any(new[k : k + 12] == old[k : k + 12] for k in range(10, len(old) - 16)), i
+    for i, old in rows[5:14]:
+        assert number not in got[i].text and (i == 17 or len(got[i].text) == len(old)), i
+    other = next(re.search(r"\d{4}( \d{4}){3}", got[11].text[k:])[0] for k in [5])
+    for i in (10, 11, 13, 14, 15, 16, 17, 18, 21):
+        assert other in got[i].text and luhn(other.replace(" ", "")), (i, got[i].text)
+    assert "5500 0000 0000 0004" not in got[14].text and "2024-01-02" not in got[15].text and "123-45-6789" not in got[16].text and "10.20.30.40" not in got[17].text
+    assert got[21].text.startswith("id 77 ") and not any(x in got[21].text for x in ("3782-822463-10005", "31.12.1999")) and got[19].text != "1" * 40
+    assert [got[i].n_found for i in (10, 11, 14, 15, 16, 17, 21)] == [1, 1, 2, 2, 2, 2, 3]
