@@ -4,7 +4,8 @@ A page is cut into text blocks, each with the path of block tags above it.  Text
 punctuation are summed for each root-to-leaf path and divided by its number of blocks; both
 ratios are smoothed over the blocks in page order and fused, and blocks over a threshold
 are content.  The smallest element around them (an article or main one if there is one)
-gives the text, without the parts that are never content.
+gives the text, without the parts that are never content.  Names of classes and forms are
+evidence only: what they mark is left out unless it holds most of the content.
 """
 from __future__ import annotations
 
@@ -21,7 +22,7 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = frozenset("head nav header footer aside form button select menu dialog search svg math canvas object audio video map".split())
+NEVER = frozenset("head nav header footer aside button select menu dialog search svg math canvas object audio video map".split())
 #: Start tags that end an open element of the same kind (fixed values).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 SCOPE = frozenset("ul ol dl table html body article section main div".split())
@@ -32,6 +33,8 @@ HINTS = frozenset(
     "sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer colophon copyright comment comments commentlist respond reply replies discussion disqus "
     "social share sharing related recommended recommendations newsletter subscribe subscription signup login search toolbar pagination pager widget widgets skip".split()
 )
+#: Those of readers' replies, which are often longer than the article (fixed values).
+REPLIES = frozenset("comment comments commentlist respond reply replies discussion disqus".split())
 SAFE = frozenset("html body main article".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -42,27 +45,32 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 THRESHOLD, WIDTH = 0.25, 2
 
 
-def _excluded(tag: str, attrs: str) -> bool:
+def _marks(tag: str, attrs: str) -> tuple[bool, frozenset]:
+    """(whether an element is never content, the hints that it may not be: words of its class and id, or that it is a form)."""
     if tag in NEVER:
-        return True
+        return True, frozenset()
+    hints = {"form"} if tag == "form" else set()
     if not attrs or tag in SAFE:
-        return False
+        return False, frozenset(hints)
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), unescape(value.strip("\"'"))
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, frozenset()
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, frozenset()
         if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and not HINTS.isdisjoint(_NAME.split(_CAMEL.sub(" ", value).lower())):
-            return True
-    return False
+            return True, frozenset()
+        if name in ("class", "id"):
+            hints |= HINTS.intersection(_NAME.split(_CAMEL.sub(" ", value).lower()))
+    return False, frozenset(hints)
 
 
 def blocks(html: str):
-    """(text, path, chain) of each text block that may be content; chain: numbers of the elements above it."""
-    stack: list[tuple[str, int, bool]] = []  # block elements that are open: tag, number, excluded
+    """(text, path, chain, hinted) of each text block that may be content.
+
+    chain: numbers of the elements above it; hinted: place in chain and hints of those that have any.
+    """
+    stack: list[tuple[str, int, bool, frozenset]] = []  # elements that are open: tag, number, excluded, hints
     out, parts, n, at = [], [], 0, 0
 
     def flush():
@@ -70,7 +78,7 @@ def blocks(html: str):
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text and not (stack and stack[-1][2]):
-                out.append((text, "/".join(s[0] for s in stack), tuple(s[1] for s in stack)))
+                out.append((text, "/".join(s[0] for s in stack), tuple(s[1] for s in stack), tuple((k, s[3]) for k, s in enumerate(stack) if s[3])))
 
     size = len(html)
     while at < size:
@@ -100,8 +108,8 @@ def blocks(html: str):
         if tag == "br":
             parts.append(" ")
             continue
-        off = _excluded(tag, attrs)
-        if tag in BLOCK or off and tag not in VOID:
+        off, hints = _marks(tag, attrs)
+        if tag in BLOCK or (off or hints) and tag not in VOID:
             flush()
             if tag in BLOCK and any(s[0] == "p" for s in stack[-1:]):
                 stack.pop()  # a block ends an open paragraph
@@ -115,7 +123,7 @@ def blocks(html: str):
                         break
             if tag not in VOID and not attrs.endswith("/"):
                 n += 1
-                stack.append((tag, n, off or bool(stack and stack[-1][2])))
+                stack.append((tag, n, off or bool(stack and stack[-1][2]), hints))
     flush()
     return out
 
@@ -131,22 +139,57 @@ def _smooth(v: list[float], width: int) -> list[float]:
     return out
 
 
+def _fused(found: list, width: int) -> list[float]:
+    sums: dict[str, list[float]] = {}
+    for text, path, *_ in found:
+        s = sums.setdefault(path, [0.0, 0.0, 0.0])
+        s[0] += len(text)
+        s[1] += len(_PUNCTUATION.findall(text))
+        s[2] += 1
+    length = _smooth([sums[b[1]][0] / sums[b[1]][2] for b in found], width)
+    points = _smooth([sums[b[1]][1] / sums[b[1]][2] for b in found], width)
+    return [a * (1 + b) for a, b in zip(length, points, strict=True)]
+
+
+def _unhinted(found: list, threshold: float, width: int) -> list:
+    """The blocks outside hinted elements; hints count for nothing where most content, or the page's main element, lies.
+
+    Content is weighed by the ratios of all blocks.  Elements with the same hints are weighed together, the outermost first;
+    those of replies must outweigh the rest tenfold.
+    """
+    if not any(b[3] for b in found):
+        return found
+    fused = _fused(found, width)
+    top = max(fused)
+    mass = [len(b[0]) if f >= threshold * top else 0 for b, f in zip(found, fused, strict=True)]
+    mains = set()  # hinted elements around a main element
+    for _, path, chain, hinted in found:
+        tags = path.split("/") if path else []
+        if hinted and "main" in tags:
+            last = len(tags) - 1 - tags[::-1].index("main")
+            mains.update(chain[k] for k, _ in hinted if k < last)
+    live = [[(chain[k], h) for k, h in hinted if chain[k] not in mains] for _, _, chain, hinted in found]
+    while True:
+        free = sum(m for m, x in zip(mass, live, strict=True) if not x)
+        groups: dict[frozenset, int] = {}
+        for m, x in zip(mass, live, strict=True):
+            if x:
+                groups[x[0][1]] = groups.get(x[0][1], 0) + m
+        heavy = [g for g, m in groups.items() if m > (10 if g <= REPLIES else 1) * free]
+        if not heavy:
+            return [b for b, x in zip(found, live, strict=True) if not x]
+        best = max(heavy, key=lambda g: groups[g])
+        live = [x[1:] if x and x[0][1] == best else x for x in live]
+
+
 def main_text(html: str | None, threshold: float = THRESHOLD, width: int = WIDTH) -> str:
     """The article's text, its blocks joined by a blank line; empty for null, empty and text-free pages."""
     if not html:
         return ""
-    found = blocks(html)
+    found = _unhinted(blocks(html), threshold, width)
     if not found:
         return ""
-    sums: dict[str, list[float]] = {}
-    for text, path, _ in found:
-        s = sums.setdefault(path, [0.0, 0.0, 0.0])
-        s[0] += len(text)
-        s[1] += len(_PUNCTUATION.findall(text))
-        s[2] += 1
-    length = _smooth([sums[p][0] / sums[p][2] for _, p, _ in found], width)
-    points = _smooth([sums[p][1] / sums[p][2] for _, p, _ in found], width)
-    fused = [a * (1 + b) for a, b in zip(length, points, strict=True)]
+    fused = _fused(found, width)
     top = max(fused)
     content = [i for i, f in enumerate(fused) if f >= threshold * top]
     # the smallest element that holds them all, or the article around most of their text
@@ -160,7 +203,7 @@ def main_text(html: str | None, threshold: float = THRESHOLD, width: int = WIDTH
     weight: dict[tuple, int] = {}
     total = 0
     for i in content:
-        text, path, own = found[i]
+        text, path, own, _ = found[i]
         total += len(text)
         tags = path.split("/") if path else []
         for k, tag in enumerate(tags):
@@ -177,7 +220,7 @@ def main_text(html: str | None, threshold: float = THRESHOLD, width: int = WIDTH
             break
     while chain and found[content[0]][1].split("/")[len(chain) - 1] in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dd", "dt"):
         chain = chain[:-1]
-    return "\n\n".join(text for text, _, own in found if own[: len(chain)] == chain)
+    return "\n\n".join(text for text, _, own, _ in found if own[: len(chain)] == chain)
 
 
 def extract(pages: DataFrame, html: str = "html", threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:

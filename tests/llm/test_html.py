@@ -23,6 +23,17 @@ def test_main_text():
     assert html.main_text("<p>open, and never closed <b>bold") == "open, and never closed bold"
 
 
+def test_wrappers_with_hints_keep_the_article():
+    plain = PAGE.replace("<body>", "<body>@").replace("</body>", "~</body>")
+    for start in ('<div class="content-sidebar-wrap">', '<div class="site has-sidebar">', '<div id="post" class="entry related">', '<form id="aspnetForm">', '<div class="site has-sidebar"><div class="widget">'):
+        end = "".join(f"</{x.split()[0]}>" for x in reversed(start[1:].split("<")))
+        assert html.main_text(plain.replace("@", start).replace("~", end)) == WANT, start
+    inner = "<p>Part one of the article, with commas, and long enough.</p>"
+    assert html.main_text(f'<div class="has-sidebar"><main>{inner}</main></div>' + "<p>Terms, and more terms, apply here, as they do, everywhere, and always.</p>" * 3).startswith("Part one")
+    many = "".join(f'<div class="e-widget"><p>Part {i} of the article, with commas, and long enough.</p></div>' for i in range(5))
+    assert html.main_text(f"<body><nav>Home</nav>{many}</body>").count("Part") == 5
+
+
 def test_broken_and_long_pages_end():
     assert "x" in html.main_text("<div>" * 3000 + "x")
     for bad in ("<" * 20000, "<a b='" * 3000, "<!--" * 5000, "&" * 20000, "<p " + "a=1 " * 20000):
