@@ -29,6 +29,44 @@ def format_bytes(n: int) -> str:
     raise AssertionError
 
 
+def thousands(n: int) -> str:
+    return f"{n:,}"
+
+
+def plural(n: int, word: str, many: str | None = None) -> str:
+    """`1 file`, `2,000 files`; many: the plural if it is not the word and an s."""
+    return f"{thousands(n)} {word if n == 1 else many or word + 's'}"
+
+
+def duration(seconds: float) -> str:
+    """`45s`, `3m 5s`, `2h 0m`: the two largest units."""
+    s = max(0, round(seconds))
+    h, m, s = s // 3600, s // 60 % 60, s % 60
+    return f"{h}h {m}m" if h else f"{m}m {s}s" if m else f"{s}s"
+
+
+def remaining(elapsed: float, done: int, total: int) -> float | None:
+    """Seconds left at the average rate so far; None before there is a rate, or without a total."""
+    if elapsed <= 0 or done <= 0 or total <= 0:
+        return None
+    return max(0.0, (total - done) * elapsed / done)
+
+
+def text_table(head: list[str], rows: list[list[str]]) -> str:
+    """Columns as wide as their widest cell, two spaces apart, with a rule below the head."""
+    if any(len(r) != len(head) for r in rows):
+        raise ValueError("a row has not as many cells as the head")
+    wide = [max(len(r[i]) for r in [head, *rows]) for i in range(len(head))]
+    line = lambda r: "  ".join(x.ljust(w) for x, w in zip(r, wide, strict=True)).rstrip()
+    return "\n".join([line(head), line(["-" * w for w in wide]), *map(line, rows)])
+
+
+def hash_bytes(text: Column) -> Column:
+    """The bytes that a hash spells in hexadecimal, 20 at most; the SHA-1 of any other text; null for null and empty ones."""
+    raw = F.when(text.rlike(r"\A(?:[0-9a-fA-F]{2}){1,20}\z"), F.unhex(text)).otherwise(F.unhex(F.sha1(text)))
+    return F.when(text != "", raw)
+
+
 def glob_to_regex(glob: str) -> str:
     """A regular expression for a shell pattern on names: `*` and `?` stay within a component; classes and escapes work."""
     out, i = [], 0
@@ -51,20 +89,27 @@ def glob_to_regex(glob: str) -> str:
             while i < len(glob) and (glob[i] != "]" or not items):
                 lo, i = _member(glob, i)
                 hi = lo
-                if glob[i : i + 1] == "-" and glob[i + 1 : i + 2] not in ("]", ""):
+                if glob[i : i + 1] == "-":
                     hi, i = _member(glob, i + 1)
+                if ord(hi) < ord(lo):
+                    items.append("")  # an empty range holds nothing
+                    continue
                 items.append(f"\\x{{{ord(lo):x}}}-\\x{{{ord(hi):x}}}")
             if i >= len(glob):
                 raise ValueError("a class is not closed")
             i += 1
-            out.append(f"[{'^' if negated else ''}{''.join(items)}]")
+            held = "".join(items)
+            out.append(f"[{'^' if negated else ''}{held}]" if held else "[^/]" if negated else "[^\\s\\S]")
         else:
             out.append(re.escape(c) if not c.isalnum() else c)
     return "(?s)\\A" + "".join(out) + "\\z"
 
 
 def _member(glob: str, i: int) -> tuple[str, int]:
-    if glob[i] == "\\":
+    """The character of a class at place i and the place after it; `-` and `]` have to be escaped."""
+    if i < len(glob) and glob[i] in "-]":
+        raise ValueError(f"a class holds {glob[i]!r} without an escape")
+    if glob[i : i + 1] == "\\":
         i += 1
     if i >= len(glob):
         raise ValueError("a class is not closed")

@@ -71,6 +71,15 @@ def merge_counters(inputs: list[DataFrame]) -> DataFrame:
     return rows.agg(F.count("*").alias("n_records"), one(F.col("k") == 1).alias("n_unique"), one(F.col("k") > 1).alias("n_collapsed"), one(F.col("before") != F.col("h")).alias("n_conflicts"))
 
 
+def clashes(files: DataFrame) -> DataFrame:
+    """path of each file that also is a directory above another file."""
+    p = paths.parts(F.col("path"))
+    own = files.select(paths.joined(p).alias("path"))
+    # only the parents of files and theirs can clash: each directory is looked up once
+    up = files.select(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))).alias("d")).distinct().select(F.explode(paths.ancestors(F.col("d"), True)).alias("path")).distinct()
+    return own.join(up, "path", "left_semi").distinct()
+
+
 def relativised(files: DataFrame, root: str, excludes=()) -> DataFrame:
     """Files with paths relative to root and without the excluded ones."""
     p = F.col("path")

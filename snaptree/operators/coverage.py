@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from .rank import saved
+from ..tables import cleaned, saved
 
 
 def tagged(candidate: DataFrame, keepers: list[DataFrame], hash_type: str = "sha1", min_size: int = 0, excludes=(), root: str = "") -> DataFrame:
@@ -23,10 +23,12 @@ def tagged(candidate: DataFrame, keepers: list[DataFrame], hash_type: str = "sha
         held = x if held is None else held.union(x)
     if held is None:
         held = candidate.select(F.col(hash_type).alias("h")).where("false")
-    # one row for each hash, so a content that many files share is not multiplied; null never joins
-    found = c.join(held.distinct().withColumn("held", F.lit(True)), "h", "left")
-    status = F.when(F.col("h").isNull(), "no_hash").when(F.col("held"), "covered").otherwise("uncovered")
-    return found.select("path", "size_bytes", status.alias("status"))
+    # one row for each hash, so a content that many files share is not multiplied
+    found = c.where("h is not null").join(held.distinct().withColumn("held", F.lit(True)), "h", "left")
+    status = F.when(F.col("held"), "covered").otherwise("uncovered")
+    # files without a hash join with nothing, so they are not sent to the one task that a null key makes
+    none = c.where("h is null").select("path", "size_bytes", F.lit("no_hash").alias("status"))
+    return found.select("path", "size_bytes", status.alias("status")).unionByName(none)
 
 
 def summary(tags: DataFrame) -> DataFrame:
@@ -56,6 +58,7 @@ def rollup(tags: DataFrame) -> DataFrame:
     return out.select("dir", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/"))).cast("bigint").alias("depth"), "n_covered", "n_uncovered", "n_no_hash", verdict.alias("verdict"))
 
 
+@cleaned
 def rollup_lines(tags: DataFrame, detail: int = 3) -> DataFrame:
     """path, kind and n_bad of the lines of a rolled-up report.
 
@@ -80,6 +83,35 @@ def rollup_lines(tags: DataFrame, detail: int = 3) -> DataFrame:
     return lines.unionByName(inside).unionByName(own.select("path", F.col("status").alias("kind"), F.lit(1).cast("bigint").alias("n_bad")))
 
 
+@cleaned
+def report(tags: DataFrame, detail: int = 3) -> DataFrame:
+    """path, depth, kind, n_covered, n_uncovered, n_no_hash, n_bytes, n_dirs of the lines of a roll-up for people.
+
+    As rollup_lines(), but each file that is listed has its size, and the wholly covered directories right in a
+    summarised one are folded into one line of kind `folded` with their number (n_dirs) and their files.
+    """
+    tags = saved(tags)
+    lines = saved(rollup_lines(tags, detail))
+    p = paths.parts(F.col("path"))
+    up = tags.select(F.explode(paths.ancestors(p)).alias("path"), "status", "size_bytes")
+    own = lines.where("kind in ('covered', 'not_covered', 'listed', 'summary')").select("path", "kind")
+    n = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
+    dirs = up.join(own, "path").groupBy("path", "kind").agg(n("covered"), n("uncovered"), n("no_hash"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    dirs = saved(dirs.withColumn("parent", F.when(F.col("path") == "", F.lit(None)).otherwise(F.regexp_extract("path", r"(?s)\A(.*)/[^/]*\z", 1))))
+    opened = dirs.where("kind = 'summary'").select(F.col("path").alias("parent"))
+    fold = dirs.where("kind = 'covered'").join(opened, "parent", "left_semi")
+    zero = F.lit(0).cast("bigint")
+    cols = ["path", "kind", "n_covered", "n_uncovered", "n_no_hash", "n_bytes", "n_dirs"]
+    shown = dirs.join(fold.select("path"), "path", "left_anti").withColumn("n_dirs", zero).select(*cols)
+    folded = fold.groupBy(F.col("parent").alias("path")).agg(F.sum("n_covered").alias("n_covered"), F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_dirs"))
+    folded = folded.withColumns({"kind": F.lit("folded"), "n_uncovered": zero, "n_no_hash": zero}).select(*cols)
+    one = lines.where("kind in ('uncovered', 'no_hash')").select("path", "kind").distinct()
+    files = tags.select(paths.joined(p).alias("path"), "size_bytes").join(one, "path")
+    files = files.select("path", "kind", zero.alias("n_covered"), (F.col("kind") == "uncovered").cast("bigint").alias("n_uncovered"), (F.col("kind") == "no_hash").cast("bigint").alias("n_no_hash"), F.col("size_bytes").alias("n_bytes"), zero.alias("n_dirs"))
+    out = shown.unionByName(folded).unionByName(files)
+    return out.withColumn("depth", F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/"))).cast("bigint"))
+
+
 def negotiate(candidate: dict, keepers: list[dict]) -> str | None:
     """The hash that the candidate and every keeper with files and hashes have, SHA-1 first; None if there is none."""
     for h in ("sha1", "md5"):

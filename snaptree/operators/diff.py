@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from .rank import ranked, saved
+from ..tables import cleaned, saved
+from .rank import ranked
 from .tree import below, digest, entry_words
 
 CHANGES = ("Added", "Removed", "Modified", "Move", "Copy")
@@ -263,10 +264,12 @@ def solve(a: DataFrame, b: DataFrame, hash_type: str = "sha1", moves: bool = Tru
         frozen = status
         status = _refrozen(rolled(files, dirs, matched), frozen, matched)
     told = saved(lines(files, status, show_unchanged, budget))
-    for _ in range(ROUNDS if matched is not None else 0):
+    for turn in range(ROUNDS + 1 if matched is not None else 0):
         lost = saved(_unmentioned(files, status, told))
         if lost.isEmpty():
             break
+        if turn == ROUNDS:
+            raise RuntimeError(f"sources of moves are still not mentioned after {ROUNDS} rounds")
         files = saved(files.join(lost.withColumn("lost", F.lit(True)), ["path", "is_twin"], "left").withColumn("status", F.when(F.col("lost"), "Removed").otherwise(F.col("status"))).drop("lost"))
         status = _refrozen(rolled(files, dirs, matched), frozen, matched)
         told = saved(lines(files, status, show_unchanged, budget))
@@ -299,6 +302,7 @@ def finished(told: DataFrame, root_a: str, root_b: str, number: bool = True) ->
     return ranked(told.withColumn("all", F.lit(0)), ["all"], ["key"], "line_no").select(*cols, "line_no")
 
 
+@cleaned
 def diff(a: DataFrame, b: DataFrame, root_a: str = "", root_b: str = "", hash_type: str = "sha1", moves: bool = True, copies: bool = True, show_unchanged: bool = False, budget: int = 0) -> DataFrame:
     """The lines of a diff of two sides whose paths are relative to their roots, with line_no."""
     return finished(solve(a, b, hash_type, moves, copies, show_unchanged, budget)[2], root_a, root_b)

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from .rank import saved
+from ..tables import cleaned, saved
 from .tree import below, digest, entry_words
 
 
@@ -21,6 +21,7 @@ def nodes(files: DataFrame) -> DataFrame:
     return one.unionByName(dirs.select(F.col("up").alias("path"), F.lit(True).alias("is_dir"), F.concat(F.lit("d:"), "key").alias("key"), "size_bytes", "n_files"))
 
 
+@cleaned
 def duplicates(files: DataFrame, min_size: int = 0) -> DataFrame:
     """group_path, path, is_dir, size_bytes, n_files, n_members: the members of each reported group.
 
@@ -44,3 +45,8 @@ def wasted(found: DataFrame, limit: int = 0) -> DataFrame:
     rows = rows.select("group_path", "is_dir", "n_members", ((F.col("n_members") - 1) * F.col("s")).alias("wasted_bytes"))
     rows = rows.orderBy(F.desc("wasted_bytes"), "group_path", "is_dir")
     return rows.limit(limit) if limit else rows
+
+
+def total_wasted(found: DataFrame) -> DataFrame:
+    """n_groups and wasted_bytes over all groups, whatever number of them is listed."""
+    return wasted(found).agg(F.count("*").alias("n_groups"), F.coalesce(F.sum("wasted_bytes"), F.lit(0)).cast("bigint").alias("wasted_bytes"))

@@ -1,27 +1,10 @@
 """Ranks within groups that no single task has to hold."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """The rows of df from a table in the shared folder (spark.checkpoint.dir): cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if base is None:
-            import tempfile
-
-            base = "file://" + tempfile.mkdtemp(prefix="snaptree-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..tables import saved
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:

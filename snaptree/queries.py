@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .fixtures import CATALOG, snapshot, sql
 from .functions import paths
 from .operators import basic, coverage, diff, dupes
-from .operators.rank import saved
 from .sources import legacy, zfs
+from .tables import cleaned, saved
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -285,6 +285,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord) AS rank FROM (
 {copied}"""
 
 
+@cleaned
 def _matched(spark, sf_dir, moves=True, copies=True):
     files = saved(diff.with_twins(diff.pair(*_sides(spark, sf_dir))))
     dirs = saved(diff.directories(files))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fields of a listing, in order (fixed values).
@@ -34,3 +34,30 @@ def plan(datasets: DataFrame, seen: DataFrame, excludes=(), include_canmount_off
     step = F.when(out, "excluded").when(F.col("type") == "volume", "volume").when(off, "canmount_off")
     step = step.when(before == "completed", "already_done").when(before == "failed", "failed").when(before == "in_progress", "resume").otherwise("scan")
     return rows.withColumn("plan", step).drop("_last")
+
+
+def scan(spark: SparkSession, store, datasets: DataFrame, mounted, excludes=(), include_canmount_off: bool = False, force_new: bool = False, **options) -> list[dict]:
+    """Scans the datasets that the plan names, one after another, each recorded under its own name; name, plan and outcome of each.
+
+    mounted(name) is a context manager that gives the folder at which the executors find the dataset.  An earlier failed
+    snapshot is deleted first, an unfinished one is gone on with.  One dataset's failure does not end the run: its outcome
+    tells the error.  options go to scan.snapshot().
+    """
+    from . import scan as tree
+
+    steps = plan(datasets, store.catalog().where("status <> 'deleted'").select("id", F.col("root_path").alias("name"), "status"), excludes, include_canmount_off, force_new)
+    out = []
+    for r in steps.orderBy("name").select("name", "plan").collect():
+        name, step = r["name"], r["plan"]
+        if step not in ("scan", "resume", "failed"):
+            out.append({"name": name, "plan": step, "outcome": "skipped"})
+            continue
+        try:
+            if step == "failed":
+                store.delete(store.last_of_root(name))
+            with mounted(name) as folder:
+                row = tree.snapshot(spark, store, folder, name, record_as=name, force_new=force_new, **options)
+            out.append({"name": name, "plan": step, "outcome": row["status"], "id": row["id"]})
+        except Exception as e:  # noqa: BLE001  # the run goes on with the next dataset
+            out.append({"name": name, "plan": step, "outcome": f"error: {e}"})
+    return out

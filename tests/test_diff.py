@@ -87,16 +87,50 @@ def test_forest_equals_tree(spark, seed, options):
     assert got == want
 
 
-def test_every_loss_is_told(spark):
-    """Each path of A that is not unchanged in B lies in a line's path or source, or below one."""
-    a, b = forest(7)
-    rows = told(spark, a, b)
-    named = {r[0].rstrip("/") for r in rows if r[1] in ("Removed", "Modified")} | {r[2].strip("/") for r in rows if r[1] == "Move" and r[2]}
-    for p, (h, _) in a.items():
-        if p in b and h is not None and b[p][0] == h:
-            continue
-        chain = ["/".join(p.split("/")[:i]) for i in range(1, p.count("/") + 2)]
-        assert any(x in named for x in chain) or any(r[1] == "Move" and r[0].rstrip("/") in chain for r in rows), p
+#: For each kind of change, the statuses of a directory's line that tell of a file below it (fixed values).
+TELLS = {
+    "removed": ("Removed", "Modified", "Move", "MovedSource", "Truncated"),
+    "added": ("Added", "Modified", "Move", "Copy", "Truncated"),
+    "modified": ("Modified", "Added", "Removed", "Move", "Copy", "Truncated"),
+}
+
+
+def tells(line_path, status, p, kind):
+    """A line at the file's own path tells of it; one of a directory above it does if its status fits the kind of change."""
+    at = line_path.strip("/")
+    return at not in ("", ".") and (at == p or p.startswith(at + "/") and status in TELLS[kind])
+
+
+def untold(a, b, rows):
+    """Changed files that no line tells of."""
+    kinds = {p: "removed" if p not in b else "modified" for p, r in a.items() if p not in b or r[0] is None or b[p][0] != r[0]}
+    kinds |= {p: "added" for p in b if p not in a}
+    return [
+        (p, kind) for p, kind in kinds.items()
+        if not any(tells(r[0], r[1], p, kind) or kind == "removed" and r[1] == "Move" and r[2] and tells(r[2], r[1], p, kind) for r in rows)
+    ]
+
+
+def untrue(a, b, rows):
+    """Lines of directories that are wholly added or removed, and files of the other side below them that no move names."""
+    moved = {r[2].strip("/") for r in rows if r[1] == "Move" and r[2]}
+    other = {"Added": a, "Removed": b}
+    return [(r[0], p) for r in rows if r[1] in other and r[0].endswith("/") for p in other[r[1]] if p.startswith(r[0]) and p not in moved]
+
+
+@pytest.mark.parametrize("budget", [0, 1])
+def test_plain_tree_tells_every_change(budget):
+    for seed in range(150):
+        a, b = forest(1000 + seed, trees=6)
+        rows = tree_oracle.diff({"/" + k: v for k, v in a.items()}, {"/" + k: v for k, v in b.items()}, budget=budget)
+        assert untold(a, b, rows) == [] and untrue(a, b, rows) == [], seed
+
+
+@pytest.mark.parametrize("seed, budget", [(7, 0), (8, 1)])
+def test_every_change_is_told(spark, seed, budget):
+    a, b = forest(seed)
+    rows = told(spark, a, b, budget=budget)
+    assert untold(a, b, rows) == [] and untrue(a, b, rows) == []
 
 
 def test_finished_and_update_mode(spark):

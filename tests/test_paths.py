@@ -47,9 +47,22 @@ def test_sizes_and_globs(spark):
     assert find("*.txt") == ["file1.txt", "FILE2.TXT", "subfile.txt"] and find("*.txt", True) == ["file1.txt", "subfile.txt"]
     assert find("file?.txt") == ["file1.txt", "FILE2.TXT"]
     assert find("*[0-9].txt", True) == ["file1.txt"] and find("[^f]*", True) == ["FILE2.TXT", "other.go", "subfile.txt", "a-b", "a]"]
-    assert find("a\\-b") == ["a-b"] and find("a[]-]*") in (["a-b", "a]"], ["a]"])
-    with pytest.raises(ValueError):
-        values.glob_to_regex("[a")
+    assert find("a\\-b") == ["a-b"] and find("a[\\]\\-]*") == ["a-b", "a]"]
+    for bad in ("[a", "[]a]", "[a-]", "[-a]", "a\\"):
+        with pytest.raises(ValueError):
+            values.glob_to_regex(bad)
+
+
+def test_words_for_people(spark):
+    assert [values.thousands(n) for n in (0, 999, 1000, -1234567)] == ["0", "999", "1,000", "-1,234,567"]
+    assert values.plural(1, "file") == "1 file" and values.plural(2000, "directory", "directories") == "2,000 directories"
+    assert [values.duration(s) for s in (0, 45, 185, 7205)] == ["0s", "45s", "3m 5s", "2h 0m"]
+    assert values.remaining(10, 50, 100) == 10 and values.remaining(0, 0, 100) is None and values.remaining(5, 200, 100) == 0
+    df = spark.createDataFrame([("00ff",), ("h1",), ("",), (None,), ("a" * 42,)], "h string")
+    got = [None if r[0] is None else bytes(r[0]).hex() for r in df.select(values.hash_bytes(F.col("h"))).collect()]
+    import hashlib
+
+    assert got == ["00ff", hashlib.sha1(b"h1").hexdigest(), None, None, hashlib.sha1(b"a" * 42).hexdigest()]
 
 
 def test_timestamps_and_hashes(spark):
