@@ -1,11 +1,11 @@
 """Helpers that several operators share."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import cleaned, saved  # noqa: F401  # the operators take them from here
+
 #: White space that parts words (fixed value).
 WHITESPACE = r"[\x20\x09-\x0D]+"
 
@@ -14,9 +14,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns of df, whatever characters their names hold."""
-    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return [col(c) for c in df.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def words(text: Column) -> Column:
@@ -24,36 +41,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITESPACE), lambda w: w != "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    base = spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if base is None:
-            import tempfile
-
-            base = "file://" + tempfile.mkdtemp(prefix="snaptree-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base}/{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The rows of df from a table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_saved(df: DataFrame) -> None:
-    """Removes the folder of saved(df)."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def tasks_for(df: DataFrame, mb_each: float, least: int = 1) -> int:
     """Number of tasks so that each gets about mb_each of df's source bytes."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -71,11 +58,12 @@ def split_by(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFr
     Null keys are in the second part.
     """
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    marks = ids.select(at(ids.columns[0]).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_map"))
+    bucket, bits = fresh(df, "bucket", "bits")
+    marks = ids.select(at(ids.columns[0]).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bits))
     marks = F.broadcast(saved(marks))  # FILTER_BITS / 8 bytes at most
-    p = F.when(F.col(key).isNotNull(), at(F.col(key).cast("bigint")))
-    tested = df.withColumn("_bucket", F.bitmap_bucket_number(p)).join(marks, "_bucket", "left")
+    p = F.when(col(key).isNotNull(), at(col(key).cast("bigint")))
+    tested = df.withColumn(bucket, F.bitmap_bucket_number(p)).join(marks, bucket, "left")
     bit = F.bitmap_bit_position(p)
-    byte = F.conv(F.hex(F.substring("_map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(bits, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))
     return tested.where(hit).select(*columns(df)), tested.where(~hit).select(*columns(df))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, split_by, tasks_for
+from .common import cleaned, col, fresh, saved, split_by, tasks_for
 from .components import components
 
 #: Coordinates of a signature, places on the ring, and the permutations' seed.
@@ -115,7 +115,7 @@ def signatures(df: DataFrame, key: str, text: str, k: int, percent: int) -> Data
                 f1.append((d >> 64) - (1 << 63)), f2.append((d & 0xFFFFFFFFFFFFFFFF) - (1 << 63)), bands.append(signer.band_keys(s))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n_shingles", "fp1", "fp2", "bands"])
 
-    return df.select(F.col(key).cast("bigint").alias("id"), text).mapInArrow(run, "id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, bands array<bigint>")
+    return df.select(col(key).cast("bigint").alias("id"), col(text)).mapInArrow(run, "id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, bands array<bigint>")
 
 
 def linked(inter, a, b, percent: int):
@@ -248,7 +248,7 @@ def links(docs: DataFrame, key: str, text: str, classes: DataFrame, k: int, perc
     member = candidates(classes)
     hubs = saved(member.groupBy("bucket").agg(F.max(F.struct("total", (-F.col("id")).alias("id"))).alias("h")).select("bucket", (-F.col("h.id")).alias("hub")))
     pairs = saved(member.join(hubs, "bucket").where("id <> hub").select("hub", "id").distinct())
-    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    texts = docs.select(col(key).cast("bigint").alias("id"), col(text).alias("text"))
     involved = saved(member.select("id").distinct())
     texts = saved(split_by(texts, "id", involved)[0].join(involved, "id", "left_semi").dropDuplicates(["id"]))
     # each hub's text goes to as many tasks as its members fill
@@ -288,6 +288,7 @@ def _parts(texts: DataFrame) -> int:
     return tasks_for(texts, 8, n)
 
 
+@cleaned
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id, kept for each row of df.
 
@@ -312,8 +313,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df that near_duplicates() keeps; their columns are unchanged."""
+    """The rows of df that near_duplicates() keeps; their columns are unchanged, whatever their names."""
     found = near_duplicates(df, key, text, k, percent)
-    gone = saved(found.where("not kept").select(F.col(key).alias("_gone")).distinct())
+    (other,) = fresh(df, "gone")
+    gone = saved(found.where("not kept").select(col(key).alias(other)).distinct())
     maybe, stay = split_by(df, key, gone)
-    return stay.unionByName(maybe.join(gone, F.col(key) == F.col("_gone"), "left_anti"))
+    return stay.union(maybe.join(gone, col(key) == F.col(other), "left_anti"))

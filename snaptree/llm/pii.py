@@ -14,14 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import col, columns
 
 #: Symbols of a half from which the network draws from the half's digest, so that its cost does not grow with the square.
 LONG = 129
 #: Rounds of the network; steps of a walk that ends in the calendar (each step ends it with probability 0.998).
 ROUNDS, WALK = 8, 12
-#: A key for tests and demonstrations; production gives its own.
-KEY = "snaptree-demo-key"
+#: Spark setting that holds the key; there is no other default, as a published key can be undone by anyone.
+KEY_SETTING = "spark.snaptree.pii.key"
 
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: Dotted forms that a run of digits stops before.
@@ -30,7 +30,7 @@ _DOTTED = r"(?:[0-9]{1,3}\.){3}[0-9]|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]
 FORMS = (
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("named", r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*(?:\"[^\"\s]{4,}+\"|'[^'\s]{4,}+'|[A-Za-z0-9_+/=.-]{4,}+)"),
-    ("access", _EDGE + r"(?:AKIA|ASIA)[0-9A-Z]{12,20}" + _END),
+    ("access", _EDGE + r"(?:AKIA|ASIA)[0-9A-Z]{12,}+" + _END),
     ("ipv4", r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])"),
     ("iso_date", r"(?<![\p{L}\p{N}-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\p{L}\p{N}]|-[0-9])"),
     ("day_date", r"(?<![\p{L}\p{N}./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![\p{L}\p{N}])"),
@@ -261,29 +261,44 @@ def _tokens(text: Column) -> Column:
     return _let(cut(text, PATTERN), lambda s: woven(s, lambda m: F.when(is_run(m), inside(m)).otherwise(_token(True, m))))
 
 
+def _replaced(text: Column, key: Column) -> Column:
+    """struct n (values that were changed), text (with all of them replaced; parts between matches are copied)."""
+    parts = F.transform(_tokens(text), lambda x: F.struct(x["t"].alias("t"), F.when(x["hit"], _pseudonym(x["t"], key)).otherwise(x["t"]).alias("new")))
+    whole = _let(parts, lambda p: F.struct(F.size(F.filter(p, lambda x: x["t"] != x["new"])).cast("bigint").alias("n"), F.array_join(F.transform(p, lambda x: x["new"]), "").alias("text")))
+    return F.when(text.rlike("[0-9@=:]") & text.rlike(PATTERN), whole).otherwise(F.struct(F.lit(0).cast("bigint").alias("n"), text.alias("text")))
+
+
 def pseudonymised(text: Column, key: Column) -> Column:
-    """text with all personal data replaced; parts between matches are copied."""
-    whole = F.array_join(F.transform(_tokens(text), lambda x: F.when(x["hit"], _pseudonym(x["t"], key)).otherwise(x["t"])), "")
-    return F.when(text.rlike("[0-9@=:]") & text.rlike(PATTERN), whole).otherwise(text)
+    """text with all personal data replaced."""
+    return _replaced(text, key)["text"]
 
 
-def _n_found(text: Column) -> Column:
-    """Matches in text; a run of digits counts its cards and the other forms in it, and once at least."""
-    return F.when(text.rlike("[0-9@=:]") & text.rlike(PATTERN), F.size(F.filter(_tokens(text), lambda x: x["hit"]))).otherwise(F.lit(0))
+def key_of(df: DataFrame, key: str | None) -> Column:
+    """The given key or that of the session; without one nothing is done."""
+    found = key or df.sparkSession.conf.get(KEY_SETTING, None)
+    if not found:
+        raise ValueError(f"pseudonyms need a key: give one or set {KEY_SETTING}")
+    return F.lit(found)
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(df: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """df with personal data in its text column replaced by pseudonyms; all rows and other columns stay.
 
     Emails (local part), named secrets and access keys, hexadecimal secrets, IPv4 addresses, dates of 1900-2099,
     social security, phone, card (Luhn) and account (IBAN) numbers.  Secrets have no greatest length.  A card is also
     found among other digits beside it; so digits in a row of numbers may pass for one.  What has the form but is not valid stays.
-    Null and empty texts stay null and empty; repeated rows are changed alike.
+    Null and empty texts stay null and empty; repeated rows are changed alike.  key: see key_of().
     """
-    changed = pseudonymised(F.col(text), F.lit(key)).alias(text)
+    changed = pseudonymised(col(text), key_of(df, key)).alias(text)
     return df.select(*[changed if name == text else c for name, c in zip(df.columns, columns(df), strict=True)])
 
 
-def report(df: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:
-    """key, n_found, n_chars and the pseudonymised text of each row of df."""
-    return df.select(F.col(key), F.coalesce(_n_found(F.col(text)), F.lit(0)).cast("bigint").alias("n_found"), pseudonymised(F.col(text), F.lit(secret)).alias("text"))
+def report(df: DataFrame, key: str = "doc_id", text: str = "text", secret: str | None = None) -> DataFrame:
+    """key, n_found and the pseudonymised text of each row of df; n_found: values that were replaced.
+
+    A null text stays null with n_found 0, as an empty one does; repeated rows and null keys each get their own row;
+    further columns are left out.  secret: see key_of().
+    """
+    done = df.select(col(key), _replaced(col(text), key_of(df, secret)).alias("r" if key != "r" else "r_"))
+    r = F.col(done.columns[1])
+    return done.select(col(key), F.coalesce(r["n"], F.lit(0).cast("bigint")).alias("n_found"), r["text"].alias("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, words
+from .common import col, columns, fresh, words
 
 #: Frequent function words of English, German, French and Spanish (fixed values).
 STOP_WORDS = (
@@ -20,6 +20,7 @@ THRESHOLDS = (
     ("word_length", "mean_word_chars", 3.0, 10.0),
     ("symbols", "symbol_ratio", None, 0.1),
     ("stop_words", "n_stop_words", 2, None),
+    ("stop_word_share", "stop_word_ratio", 0.05, None),
     ("duplicate_lines", "dup_line_ratio", None, 0.5),
     ("repetition", "repeat_word_ratio", None, 0.5),
 )
@@ -54,27 +55,30 @@ def _covered(positions: Column) -> Column:
     )
 
 
-def features(df: DataFrame, text: str = "text") -> DataFrame:
-    """df's columns, and a struct `_q` of the measures that the rules use.
+def features(df: DataFrame, text: str = "text", name: str = "_q") -> DataFrame:
+    """df's columns, and a struct (its name is given) of the measures that the rules use.
 
     Null, empty and blank texts have no words and zero in every measure.
     """
     mask = F.lit((1 << POSITION_BITS) - 1)
+    of_text, of_words, of_lines, of_keys, of_again, of_stops = fresh(df, "t", "w", "l", "k", "a", "s")
     # each step is a projection of its own, so that no array is built twice
-    t = df.select("*", F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    t = t.select("*", words(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
-    w = F.col("_w")
+    t = df.select("*", F.coalesce(col(text), F.lit("")).alias(of_text))
+    t = t.select("*", words(F.col(of_text)).alias(of_words), F.filter(F.split(of_text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(of_lines))
+    w, lines = F.col(of_words), F.col(of_lines)
     n = F.size(w)
     spans = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
     packed = F.transform(spans, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(~((1 << POSITION_BITS) - 1)).bitwiseOR(i.cast("bigint")))
-    t = t.select("*", F.sort_array(packed).alias("_k"))
-    k = F.col("_k")
+    t = t.select("*", F.sort_array(packed).alias(of_keys))
+    k = F.col(of_keys)
 
     def again(x, j):
         near = lambda y: F.coalesce(F.shiftright(x.bitwiseXOR(y), POSITION_BITS) == 0, F.lit(False))
         return near(F.get(k, j - 1)) | near(F.get(k, j + 1))
 
-    t = t.select("*", F.filter(k, again).alias("_a"))
+    stop = F.filter(F.transform(w, F.lower), lambda x: x.isin(STOP_WORDS))
+    t = t.select("*", F.filter(k, again).alias(of_again), stop.alias(of_stops))
+    twice, stops = F.col(of_again), F.col(of_stops)
     # the exact way for texts beyond the packing or with a hash in common: sort the words themselves
     long_keys = F.sort_array(F.transform(spans, lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.cast("bigint").alias("i"))))
 
@@ -86,23 +90,23 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
         return _covered(F.sort_array(F.transform(hit, lambda x: x["i"])))
 
     slow = F.element_at(F.transform(F.array(long_keys), exact), 1)
-    fast = _covered(F.sort_array(F.transform("_a", lambda x: x.bitwiseAND(mask))))
+    fast = _covered(F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask))))
     repeat = (
-        F.when(F.size("_a") == 0, F.when(n < (1 << POSITION_BITS), F.lit(0).cast("bigint")).otherwise(slow))
-        .when((n >= (1 << POSITION_BITS)) | _any_collision(w, F.col("_a")), slow)
+        F.when(F.size(twice) == 0, F.when(n < (1 << POSITION_BITS), F.lit(0).cast("bigint")).otherwise(slow))
+        .when((n >= (1 << POSITION_BITS)) | _any_collision(w, twice), slow)
         .otherwise(fast)
     )
-    stops = F.array(*[F.lit(x) for x in STOP_WORDS])
     q = F.struct(
         n.cast("bigint").alias("n_words"),
         F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
-        F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
-        F.size("_l").cast("bigint").alias("n_lines"),
+        F.length(F.regexp_replace(of_text, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
+        F.size(lines).cast("bigint").alias("n_lines"),
         repeat.alias("n_repeat_words"),
-        F.size(F.array_intersect(stops, F.transform(F.slice(w, 1, 2_000_000_000), F.lower))).cast("bigint").alias("n_stop_words"),
+        F.size(F.array_distinct(stops)).cast("bigint").alias("n_stop_words"),
+        F.size(stops).cast("bigint").alias("n_stops"),
     )
-    return t.select(*columns(df), q.alias("_q"))
+    return t.select(*columns(df), q.alias(name))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -116,6 +120,7 @@ def verdict(q: Column, thresholds=THRESHOLDS) -> Column:
         "mean_word_chars": _ratio(q["word_chars"], q["n_words"]),
         "symbol_ratio": _ratio(q["n_symbols"], q["n_words"]),
         "n_stop_words": q["n_stop_words"],
+        "stop_word_ratio": _ratio(q["n_stops"], q["n_words"]),
         "dup_line_ratio": _ratio(q["n_dup_lines"], q["n_lines"]),
         "repeat_word_ratio": _ratio(q["n_repeat_words"], q["n_words"]),
     }
@@ -128,21 +133,28 @@ def verdict(q: Column, thresholds=THRESHOLDS) -> Column:
     return ok
 
 
+def _judged(df: DataFrame, text: str, thresholds, names) -> DataFrame:
+    measures, failed, kept = names
+    out = features(df, text, measures)
+    q = F.col(measures)
+    base = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
+    return out.select("*", base.alias(failed), (~base & verdict(q, thresholds)).alias(kept))
+
+
 def quality(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """One row for each row of df: its columns, `_q` with the measures, base_failed and kept.
 
-    Null and empty texts fail.  Repeated rows are judged alike; other columns, whatever
-    their names, are passed through (names that start with `_` are reserved).
+    Null and empty texts fail.  Repeated rows are judged alike; other columns are passed through, but one
+    that is named as a column that is made here is replaced by it.
     """
-    out = features(df, text)
-    q = out["_q"]
-    base = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
-    return out.select("*", base.alias("base_failed"), (~base & verdict(q, thresholds)).alias("kept"))
+    names = ("_q", "base_failed", "kept")
+    return _judged(df.select(*[col(c) for c in df.columns if c.lower() not in names]), text, thresholds, names)
 
 
 def keep_good(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
-    """The rows of df that pass; their columns are unchanged."""
-    judged = quality(df, text, thresholds)
+    """The rows of df that pass; their columns are unchanged, whatever their names."""
+    names = fresh(df, "q", "base_failed", "kept", "ok")
+    judged = _judged(df, text, thresholds, names[:3])
     # the id is a barrier: without it the filter would be pushed below the projections, with all of them copied into it
-    judged = judged.withColumn("_ok", F.col("kept") & (F.monotonically_increasing_id() >= 0))
-    return judged.where("_ok").select(*columns(df))
+    judged = judged.withColumn(names[3], F.col(names[2]) & (F.monotonically_increasing_id() >= 0))
+    return judged.where(F.col(names[3])).select(*columns(df))

@@ -15,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages in each range, about, and keys looked at for each cut.
-PAGES_PER_RANGE, KEYS_PER_CUT = 200_000, 40
+#: Pages in each range, about; keys looked at for each cut, and in all: they only place the work.
+PAGES_PER_RANGE, KEYS_PER_CUT, KEYS = 200_000, 40, 200_000
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_path(url):
@@ -25,7 +28,7 @@ def host_path(url):
     at = F.instr(u, "://")
     rest = F.when(at > 0, F.substr(u, at + 3)).otherwise(F.lit(""))
     raw = F.regexp_extract(rest, r"(?s)\A([^/?#]*)", 1)
-    host = F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.translate(raw, UPPER, LOWER)
     return host, F.regexp_extract(rest, r"(?s)\A[^/?#]*([^?#]*)", 1)
 
 
@@ -79,13 +82,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", pages_per_
     host, path = host_path(F.col("url"))
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", host.alias("host"), path.alias("path"))
     p = p.select("*", reversed_host(F.col("host")).alias("key"), F.xxhash64("page_id", "url").alias("salt"))
-    r = rules.where(F.coalesce("host", F.lit("")) != "").select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+    r = rules.where(F.coalesce("host", F.lit("")) != "").select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
     r = r.select("*", reversed_host(F.col("host")).alias("key")).dropDuplicates(["host", "path", "verdict"])
 
     n = p.count()
     ranges = max(spark.sparkContext.defaultParallelism, -(-n // pages_per_range))
-    # cuts from a sample of keys: their number follows the number of ranges, and they only place the work
-    share = min(1.0, ranges * KEYS_PER_CUT / max(1, n))
+    # cuts from a sample of keys; beyond KEYS of them the ranges are a little less even
+    share = min(1.0, min(ranges * KEYS_PER_CUT, KEYS) / max(1, n))
     drawn = sorted((x.key, x.salt) for x in p.sample(share, seed=1).select("key", "salt").collect())
     cuts = [drawn[i * len(drawn) // ranges] for i in range(1, ranges)] if drawn else []
     shared = spark.sparkContext.broadcast(cuts)  # one key for each range

@@ -59,3 +59,30 @@ def test_table(spark):
     odd = packing.pack(spark.createDataFrame([(1, None), (2, -3), (3, 0), (4, 9)], "doc_id bigint, k int"), length=F.col("k"), text="k").toPandas().set_index("doc_id")
     assert odd.bin_id.isna().tolist() == [i != 4 for i in odd.index] and odd.n_tokens.to_dict() == {1: 0, 2: 0, 3: 0, 4: 9}
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_equal_rows_are_spread(spark):
+    df = spark.createDataFrame([(7, "a b")], "doc_id bigint, text string").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20_000))))
+    rows = packing._dealt(df.select(F.col("doc_id").alias("key"), F.lit(3).cast("bigint").alias("n")), 1000)[0].groupBy("shard").count().collect()
+    assert len(rows) >= 15 and max(r["count"] for r in rows) <= 2000
+    got = packing.pack(df, shard_rows=1000)
+    assert got.count() == 20_000 and got.agg(F.sum("n_tokens")).first()[0] == 60_000
+    fill = got.groupBy("bin_id").agg(F.sum("n_tokens").alias("n"), F.max("bin_fill").alias("f"), F.max("bin_size").alias("s"))
+    assert fill.where("n <> f or f > s").count() == 0
+
+
+def test_sequences(spark):
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(i * 53 % 700))) for i in range(60)] + [(99, "x " * 9000), (100, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("bin_id", F.lit("clash"))
+    got = packing.sequences(packing.pack(df), df).collect()
+    assert all(len(q.words) <= q.bin_size for q in got)
+    ends = sorted(w for q in got for w in q.words)
+    assert ends == sorted(w for _, t in rows for w in [*(t or "").split(), ""])
+    with pytest.raises(Exception, match="repeated"):
+        packing.sequences(packing.pack(df), df.union(df)).collect()
+
+
+def test_ties_keep_the_order_of_keys(spark):
+    df = spark.createDataFrame([(i, "w " * 511) for i in range(8)], "doc_id bigint, text string")
+    got = {q.doc_id: (q.bin_id, q.bin_offset) for q in packing.pack(df, sizes=(1024,)).collect()}
+    assert [got[i] for i in range(8)] == [(i // 2, i % 2 * 512) for i in range(8)]

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from snaptree.llm import pii
 
+KEY = "a key for tests"
 
-def plain(values, radices, tweak, key=pii.KEY):
+
+def plain(values, radices, tweak, key=KEY):
     h = len(values) // 2
     a, b, ra, rb = list(values[:h]), list(values[h:]), radices[:h], radices[h:]
     for i in range(pii.ROUNDS):
@@ -22,7 +24,7 @@ def plain(values, radices, tweak, key=pii.KEY):
 def test_network_is_a_permutation(spark):
     radices = [5, 7, 4]
     rows = [(list(v),) for v in itertools.product(*map(range, radices))]
-    df = spark.createDataFrame(rows, "v array<int>").select("v", pii.feistel(F.col("v"), F.array(*map(F.lit, radices)), "t", F.lit(pii.KEY)).alias("n"))
+    df = spark.createDataFrame(rows, "v array<int>").select("v", pii.feistel(F.col("v"), F.array(*map(F.lit, radices)), "t", F.lit(KEY)).alias("n"))
     got = {tuple(r.v): r.n for r in df.collect()}
     assert got == {tuple(v): plain(v, radices, "t") for (v,) in rows}
     assert len({tuple(n) for n in got.values()}) == 5 * 7 * 4
@@ -46,7 +48,7 @@ def test_forms(spark):
         (6, "no personal data here: at 12:30 = noon"), (7, None), (8, ""), (9, "x 1984-02-29 " * 2000), (9, "x 1984-02-29 " * 2000),
     ]
     df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("p", F.lit(1)).withColumn("x.y", F.lit("é"))
-    out = pii.pseudonymise(df)
+    out = pii.pseudonymise(df, key=KEY)
     assert out.columns == df.columns
     got = out.collect()
     assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 9] and {r["x.y"] for r in got} == {"é"}
@@ -64,9 +66,9 @@ def test_forms(spark):
     assert "hunter2x" not in t[5] and "IOSFODNN7" not in t[5] and t[5].startswith("password = ")
     assert t[6] == rows[5][1] and t[7] is None and t[8] == ""
     assert len(t[9]) == len(rows[8][1]) and set(re.findall(r"\d{4}-\d{2}-\d{2}", t[9])) == {day}
-    counts = {r.doc_id: r.n_found for r in pii.report(df).collect()}
+    counts = {r.doc_id: r.n_found for r in pii.report(df, secret=KEY).collect()}
     assert counts[6] == counts[7] == counts[8] == 0 and counts[9] == 2000
-    assert pii.pseudonymise(df.limit(0)).count() == 0
+    assert pii.pseudonymise(df.limit(0), key=KEY).count() == 0
 
 
 def test_long_secrets_and_cards_among_digits(spark):
@@ -78,7 +80,7 @@ def test_long_secrets_and_cards_among_digits(spark):
         (21, f"id 77 3782-822463-10005 {number} 31.12.1999"),
     ]
     df = spark.createDataFrame(rows, "doc_id int, text string")
-    got = {r.doc_id: r for r in pii.report(df).collect()}
+    got = {r.doc_id: r for r in pii.report(df, secret=KEY).collect()}
     for i, old in rows[:5]:
         new = got[i].text
         assert len(new) == len(old) and new.endswith(" end"), i

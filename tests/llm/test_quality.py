@@ -14,7 +14,7 @@ def plain(text):
     n = Counter(grams)
     rep = len({i + d for i, g in enumerate(grams) if n[g] > 1 for d in range(3)})
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(lines), rep, len({x.lower() for x in w} & set(quality.STOP_WORDS))
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(lines), rep, len({x.lower() for x in w} & set(quality.STOP_WORDS)), sum(x.lower() in quality.STOP_WORDS for x in w)
 
 
 def test_against_brute_force(spark):
@@ -30,9 +30,9 @@ def test_against_brute_force(spark):
     for i, t in enumerate(texts):
         want = plain(t)
         assert tuple(got[i]["_q"]) == want, i
-        n, chars, sym, dup, lines, rep, stops = want
+        n, chars, sym, dup, lines, rep, stops, stop_words = want
         base = n < 50 or 100 * rep > 50 * n
-        kept = not base and 3 <= chars / n <= 10 and sym / n <= 0.1 and stops >= 2 and dup / lines <= 0.5
+        kept = not base and 3 <= chars / n <= 10 and sym / n <= 0.1 and stops >= 2 and stop_words / n >= 0.05 and dup / lines <= 0.5
         assert (got[i].base_failed, got[i].kept) == (base, kept), i
     assert got[len(texts) - 1].kept and got[len(texts) - 2].kept
     out = quality.keep_good(df)
@@ -44,3 +44,25 @@ def test_plan_has_no_python(spark):
     df = spark.createDataFrame([("a",)], "text string")
     plan = quality.quality(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_columns_of_any_name_stay(spark):
+    good = " ".join(f"the word{i} of sense{i * 7}" for i in range(40))
+    names = ["kept", "base_failed", "_q", "_t", "t", "w", "q", "ok", "bits", "bucket", "gone", "A.b", "_gone"]
+    df = spark.createDataFrame([(1, good, *range(len(names))), (2, None, *range(len(names))), (3, good, *range(len(names)))], ["doc_id", "text", *names])
+    out = quality.keep_good(df)
+    assert out.columns == df.columns and sorted(tuple(r) for r in out.collect()) == [(i, good, *range(len(names))) for i in (1, 3)]
+    assert [r.kept for r in quality.quality(df).orderBy("doc_id").collect()] == [True, False, True]
+    from snaptree.llm import minhash
+
+    first = minhash.keep_first(df)
+    assert first.columns == df.columns and sorted(r.doc_id for r in first.collect()) == [1, 2]
+
+
+def test_texts_beyond_the_packing_of_positions(spark):
+    """Texts of 2**20 words and more take the exact way; their counts are those of the plain version."""
+    n = 1 << quality.POSITION_BITS
+    for words in (n - 1, n + 3):
+        t = " ".join(f"w{i % (words - 3)}" for i in range(words))
+        got = quality.quality(spark.createDataFrame([(1, t)], "doc_id int, text string")).first()
+        assert tuple(got["_q"])[0::5] == (words, 6)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from snaptree.llm import warc
+from snaptree.llm import queries, warc
 
 
 def test_audit(spark):
@@ -27,3 +27,35 @@ def test_records(spark):
     assert [tuple(r) for r in p] == [("<urn:page:1>", "http://x", 8, "a\r\n\r\nbé"), ("<urn:page:2>", "", 0, "")]
     rows = warc.manifest(df).orderBy("offset").collect()
     assert [r.offset for r in rows] == [0, rows[0].length]
+
+
+def test_query_on_repeated_and_null_pages(spark, tmp_path):
+    """Undamaged copies of a page, and pages without a number, are sound; copies of a damaged one are corrupt."""
+    rows = [(1, "u", "a"), (1, "u", "a"), (3, "v", "b"), (3, "v", "b"), (7, "w", "c"), (11, "x", "d"), (None, "y", "e"), (None, None, None)] + [(2, "z", "same")] * 2500
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("file", F.lit("clash")).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((q.record_id, q.status) for q in queries.op6_warc(spark, str(tmp_path)).collect())
+    assert got == [(3, "corrupt"), (3, "corrupt"), (7, "missing"), (11, "extra")]
+    most = warc.manifest(spark.read.parquet(f"{tmp_path}/pages.parquet")).groupBy("file").count().agg(F.max("count")).first()[0]
+    assert most == warc.FILE_PAGES
+
+
+def test_files(spark, tmp_path):
+    """Files that are written by hand are read back, with damage in the place where it is."""
+    rows = [(i, f"http://x/{i}", "é" * (i * 77 % 900)) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    raw = [r.r.encode() for r in df.orderBy("page_id").select(warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("r")).collect()]
+    for name, part in (("a", raw), ("b", [*raw[:5], raw[5].replace(b"urn:page:5", b"urn:page:6"), *raw[6:20], b"x" + raw[20][1:], *raw[21:39]])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "one.warc").write_bytes(b"".join(part))
+    a, b = warc.read(spark, f"file://{tmp_path}/a"), warc.read(spark, f"file://{tmp_path}/b")
+    want = [(r.offset, r.length, r.record_id, r.digest) for r in warc.manifest(df).orderBy("offset").collect()]
+    assert [(r.offset, r.length, r.record_id, r.digest) for r in a.orderBy("offset").collect()] == want
+    got = sorted((r.record_id if r.record_id is not None else -1, r.status) for r in warc.audit(a, b).collect())
+    assert got == [(5, "missing"), (6, "extra"), (20, "corrupt"), (39, "missing")]
+
+
+def test_very_long_record(spark):
+    df = spark.createDataFrame([(1, "u", "é" * 3_000_000), (2, "u", "")], "page_id bigint, url string, html string")
+    good = warc.manifest(df)
+    bad = warc.manifest(df.withColumn("html", F.when(F.col("page_id") == 1, F.concat(F.substring("html", 2, 2_999_999), F.lit("è"))).otherwise(F.col("html"))))
+    assert [(r.record_id, r.status) for r in warc.audit(good, bad).collect()] == [(1, "corrupt")]
