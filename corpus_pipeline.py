@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from snaptree.llm import minhash, packing, pii, quality
 from snaptree.llm.common import saved, table
+from snaptree.llm.queries import pii_key
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +25,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data."""
-    return pii.pseudonymise(docs)
+    """All documents, with pseudonyms for personal data under the session's key."""
+    return pii.pseudonymise(docs, key=pii_key(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
