@@ -1,7 +1,6 @@
-"""Elias-Fano sequences and n-gram levels over numpy arrays, which may be memory-mapped."""
+"""Elias-Fano sequences and n-gram tries over numpy arrays, which may be memory-mapped."""
 from __future__ import annotations
 
-import os
 import struct
 
 import numpy as np
@@ -63,16 +62,18 @@ class EliasFano:
         """Elements at the places i."""
         return (np.searchsorted(self.ends(), i, side="right").astype(U64) << U64(self.bits)) | self.lows(i)
 
-    def successor(self, q: np.ndarray):
-        """(place of the first element that is not below q, whether it equals q) for each q."""
+    def successor(self, q: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None):
+        """(place of the first element that is not below q, whether it equals q) for each q; lo, hi: bounds of the place."""
         ends = self.ends()
         h = np.minimum((q >> U64(self.bits)).astype(np.int64), len(ends))
-        hi = np.where(h < len(ends), ends[np.minimum(h, len(ends) - 1)], self.n) if len(ends) else np.zeros(len(q), dtype=np.int64)
-        lo = np.where(h > 0, ends[np.maximum(h - 1, 0)], 0) if len(ends) else hi
-        hi, lo = np.minimum(hi, self.n), np.minimum(lo, self.n)
-        want, end = q & U64((1 << self.bits) - 1), hi
+        last = np.where(h < len(ends), ends[np.minimum(h, len(ends) - 1)], self.n) if len(ends) else np.zeros(len(q), dtype=np.int64)
+        first = np.where(h > 0, ends[np.maximum(h - 1, 0)], 0) if len(ends) else last
+        last, first = np.minimum(last, self.n), np.minimum(first, self.n)
+        if lo is not None:
+            first, last = np.maximum(first, lo), np.minimum(last, hi)
+        want, end = q & U64((1 << self.bits) - 1), last
+        lo, hi = first.copy(), last.copy()
         live = np.flatnonzero(lo < hi)
-        lo, hi = lo.copy(), hi.copy()
         while len(live):
             mid = (lo[live] + hi[live]) >> 1
             below = self.lows(mid) < want[live]
@@ -85,67 +86,117 @@ class EliasFano:
         return lo, equal
 
 
-class Level:
-    """N-grams of one order: contexts, pointers to each context's words, and the words.
+class Trie:
+    """Levels of n-grams: level k holds those of k + 1 words, each below the node of its first k words.
 
-    A key holds the context in its upper 32 bits and the word in its lower ones.  Words are kept relative
-    to their context: the k-th context's words are shifted by k * 2**32, so that the sequence never falls
-    and costs about 34 bits a word however many contexts there are.
+    Roots are 64-bit hashes of words; the words below are 32 bits, and numbered by their place in the trie's own
+    vocabulary.  A node is its parent's place times the size of the vocabulary plus its word's number: relative to its
+    parent it costs the bits of that number and about two more, and a level never falls.  A node's children are the
+    elements from its pointer to the next node's; the pointers never fall either.  All are Elias-Fano sequences.
+    payload: arrays of each level with a value for each node.  A request, which is read as a whole, has no pointers.
     """
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, words: EliasFano, payload: np.ndarray):
-        self.contexts, self.pointers, self.words, self.payload = contexts, pointers, words, payload
+    def __init__(self, vocabulary: EliasFano, words: list[EliasFano], pointers: list[EliasFano], payload: list[list[np.ndarray]]):
+        self.vocabulary, self.words, self.pointers, self.payload = vocabulary, words, pointers, payload
+        self.base = U64(max(1, vocabulary.n))
+        self._known: dict = {}
 
     @classmethod
-    def of(cls, keys: np.ndarray, payload: np.ndarray) -> Level:
-        """keys: ascending, distinct uint64."""
-        context = keys >> U64(32)
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
-        number = np.repeat(np.arange(len(first), dtype=U64), np.diff(np.append(first, len(keys))))
-        words = (number << U64(32)) | (keys & U64(0xFFFFFFFF))
-        return cls(EliasFano.of(context[first], 1 << 32), EliasFano.of(np.append(first, len(keys)), len(keys) + 1), EliasFano.of(words, max(1, len(first)) << 32), payload)
+    def of(cls, vocabulary: np.ndarray, roots: np.ndarray, parents: list[np.ndarray], numbers: list[np.ndarray], payload: list[list[np.ndarray]], linked: bool = True) -> Trie:
+        """vocabulary, roots: ascending; parents, and numbers of the words in the vocabulary, of each further level, in order of both."""
+        base = U64(max(1, len(vocabulary)))
+        levels, pointers, above = [EliasFano.of(roots, 1 << 64)], [], len(roots)
+        for parent, number in zip(parents, numbers, strict=True):
+            levels.append(EliasFano.of(parent.astype(U64) * base + number.astype(U64), max(1, above) * int(base)))
+            if linked:
+                pointers.append(EliasFano.of(np.searchsorted(parent, np.arange(above + 1)), len(number) + 1))
+            above = len(number)
+        return cls(EliasFano.of(vocabulary, 1 << 32), levels, pointers, payload)
 
     def tobytes(self) -> bytes:
-        return b"".join(x.tobytes() for x in (self.contexts, self.pointers, self.words)) + self.payload.dtype.str.encode().ljust(4) + self.payload.tobytes()
+        out = [struct.pack("<BB", len(self.words), len(self.pointers)), *(x.tobytes() for x in (self.vocabulary, *self.words, *self.pointers))]
+        for arrays in self.payload:
+            out.append(struct.pack("<B", len(arrays)))
+            out += [x.dtype.str.encode().ljust(4) + struct.pack("<Q", x.nbytes) + x.tobytes() for x in arrays]
+        return b"".join(out)
 
     @classmethod
-    def read(cls, buf: np.ndarray) -> Level:
-        parts, at = [], 0
-        for _ in range(3):
+    def read(cls, buf: np.ndarray) -> Trie:
+        n, linked, at, parts = int(buf[0]), int(buf[1]), 2, []
+        for _ in range(1 + n + linked):
             x, at = EliasFano.read(buf, at)
             parts.append(x)
-        kind = np.dtype(bytes(buf[at : at + 4]).decode().strip())
-        return cls(*parts, buf[at + 4 :].view(kind) if (len(buf) - at - 4) % kind.itemsize == 0 and (buf.ctypes.data + at + 4) % kind.itemsize == 0 else np.frombuffer(buf[at + 4 :].tobytes(), kind))
-
-    def save(self, path: str) -> Level:
-        """The level mapped from a new file."""
+        payload = []
+        for _ in range(n):
+            arrays, k = [], int(buf[at])
+            at += 1
+            for _ in range(k):
+                kind, size = np.dtype(bytes(buf[at : at + 4]).decode().strip()), struct.unpack_from("<Q", buf, at + 4)[0]
+                arrays.append(np.frombuffer(buf[at + 12 : at + 12 + size], kind))
+                at += 12 + size
+            payload.append(arrays)
+        return cls(parts[0], parts[1 : 1 + n], parts[1 + n :], payload)
+
+    def save(self, path: str) -> Trie:
+        """The trie mapped from a new file."""
         with open(path, "wb") as f:
             f.write(self.tobytes())
-        return Level.read(np.memmap(path, dtype=np.uint8, mode="r")) if os.path.getsize(path) else self
-
-    def keys(self) -> np.ndarray:
-        context = self.contexts.values()
-        sizes = np.diff(self.pointers.values().astype(np.int64))
-        return (np.repeat(context, sizes) << U64(32)) | (self.words.values() & U64(0xFFFFFFFF))
+        return Trie.read(np.memmap(path, dtype=np.uint8, mode="r"))
+
+    def _once(self, name, make):
+        if name not in self._known:
+            self._known[name] = make()
+        return self._known[name]
+
+    def nodes(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the parent, number of the word) of each node of a level below the roots."""
+        x = self.words[level].values()
+        parent = x // self.base
+        return parent.astype(np.int64), (x - parent * self.base).astype(np.int64)
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 for those that are not in the vocabulary."""
+        known = self._once("vocabulary", self.vocabulary.values)
+        if not len(known):
+            return np.full(len(words), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        return np.where(known[at] == words, at, -1)
+
+    def root(self, word: np.ndarray) -> np.ndarray:
+        """Place of each root, -1 where there is none."""
+        out = np.full(len(word), -1, dtype=np.int64)
+        if self.words[0].n:
+            at, equal = self.words[0].successor(word)
+            out[equal] = at[equal]
+        return out
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Payload of each key, 0 where there is none: the context's number, then the successor of the word among its words."""
-        out = np.zeros(len(keys), dtype=self.payload.dtype)
-        if not len(keys) or not len(self.payload):
+    def child(self, level: int, parent: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Place of each word (its number) among the children of the given nodes of the level above; -1 where there is none, also for a parent or number of -1."""
+        out = np.full(len(number), -1, dtype=np.int64)
+        if not self.words[level].n:
             return out
-        number, known = self.contexts.successor(keys >> U64(32))
-        live = np.flatnonzero(known)
-        at, equal = self.words.successor((number[live].astype(U64) << U64(32)) | (keys[live] & U64(0xFFFFFFFF)))
-        live, at = live[equal], at[equal]
-        out[live] = self.payload[at]
+        live = np.flatnonzero((parent >= 0) & (number >= 0))
+        above = parent[live]
+        starts = self._once(level, lambda: self.pointers[level - 1].values().astype(np.int64))
+        at, equal = self.words[level].successor(above.astype(U64) * self.base + number[live].astype(U64), starts[above], starts[above + 1])
+        out[live[equal]] = at[equal]
         return out
 
 
-def codebook(exact: int = 128, ratio: float = 1.17) -> np.ndarray:
-    """256 levels of counts: exact up to 127, then in steps of a ratio (up to about 6e10)."""
-    return np.concatenate([np.arange(exact), np.round(exact * ratio ** np.arange(256 - exact))]).astype(np.float64)
+#: Steps of a probability's code for a halving.
+STEPS = 1024
+
+
+def quantise(p: np.ndarray) -> np.ndarray:
+    """Codes of 16 bits of probabilities, off by 0.04 % at most; 0 is 0, and what is below 2**-63 is 2**-63."""
+    code = np.zeros(len(p), dtype=np.uint16)
+    some = p > 0
+    code[some] = 1 + np.minimum(np.round(-np.log2(p[some]) * STEPS), 63 * STEPS).astype(np.uint16)
+    return code
+
+
+_VALUES = np.concatenate([[0.0], 0.5 ** (np.arange(63 * STEPS + 1) / STEPS)])
 
 
-def quantise(counts: np.ndarray, book: np.ndarray) -> np.ndarray:
-    """The nearest level's code of each count."""
-    return np.searchsorted((book[1:] + book[:-1]) / 2, counts, side="left").astype(np.uint8)
+def probability(code: np.ndarray) -> np.ndarray:
+    return _VALUES[code]

@@ -1,87 +1,209 @@
 """Language-model scores from an Elias-Fano n-gram trie that is spread over the cluster.
 
-Texts are dealt into chunks by a hash of their ids.  A chunk sends its distinct n-grams, with
-their training counts, to shards as compact levels; a shard adds the counts up, builds the
-trie level of its n-grams in memory-mapped files, looks each chunk's n-grams up in it and
-returns one quantised code for each; the chunk, which has kept its order, scores its texts.
-No model is gathered in one place, and the frequent contexts are split by ranges of the
-following word, so no shard grows with one word.
-
-With p1 the unigram probability, P(w | u) = (c(u w) + M p1(w)) / (c(u) + M), and so on for higher
-orders with the next lower probability in place of p1.  Counts of n-grams are quantised.
+Texts are gathered into chunks.  A chunk sends the n-grams of its texts, with their training counts, as
+small tries to shards, dealt by the first word.  A shard adds the counts up, works out smoothed
+probabilities, quantises them, builds its part of the trie in a memory-mapped file, and looks up what each chunk
+asked; the chunk, which has kept its order, scores its texts.  No model is gathered in one place.
+
+The model interpolates: P(w | h) = a(h w) + b(h) P(w | shorter h), with a(h w) = c(h w) / (c(h) + M) and
+b(h) = M / (c(h) + M), down to the unigrams.  A node of the trie holds a and, for what follows it, b; both add up
+to one over all w up to their rounding.
+
+Words that occur very often are split: their pairs are dealt by the second word as well, and pairs of two such words
+by the third, so no shard grows with a word or a pair.  Such a word's count is known to all, and each of a pair's
+shards is sent the pair's whole count.
 """
 from __future__ import annotations
 
+import struct
 import tempfile
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .eliasfano import U64, Level, codebook, quantise
-from .minhash import MEMO, mix
+from .common import col
+from .eliasfano import U64, Trie, probability, quantise
+from .minhash import mix
 
-#: Weight of the next lower order, by order; bytes of text in a chunk and for each shard, about.
+#: Weight of the shorter context, by order; bytes of text in a chunk and for each shard, about.
 MASS, CHUNK_BYTES, SHARD_BYTES = {2: 20.0, 3: 10.0, 4: 10.0, 5: 10.0}, 8_000_000, 16_000_000
-#: Ranges of the following word into which a context is split among shards, as bits.
-SPLIT_BITS = 6
+#: Tokens of a word from which it is split, into parts of about so many.
+HOT = 2_000_000
+#: Rows between chunks and shards up to which they are sent straight; above, by way of relays.
+DIRECT = 50_000_000
 #: Add-constant of the unigrams (fixed by the base score).
 ADD = 0.1
 
-END, START = U64(0x5EED0000000000E1), U64(0x5EED0000000000A7)
+END = U64(0x5EED0000000000E1)
+#: What stands before a text, by distance from its first word.
+BEFORE = [U64(0x5EED0000000000A7 + k) for k in range(8)]
+_ODD = U64(0x9E3779B97F4A7C15)
+_BASE, _BACK = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=U64)
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+#: Bytes that are hashed at a time, about.
+PIECE = 1 << 20
+
+
+class _Powers:
+    """Powers of the hash's base and of its inverse, as many as the longest piece so far needs."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=U64)
+
+    def to(self, n: int):
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate([self.up, self.up * U64(pow(_BASE, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * U64(pow(_BACK, k, 1 << 64))])
+        return self.up, self.down
+
+
+_powers = _Powers()
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, place of its first byte); A-Z count as a-z.  Equal words have equal hashes, others differ but for 64-bit chance."""
+    raw = np.frombuffer(text, np.uint8)
+    hashes, places = [], []
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + PIECE)
+        while end < len(raw):  # a piece ends in white space
+            gap = np.flatnonzero(_SPACE[raw[end : end + PIECE]])
+            if len(gap):
+                end += int(gap[0]) + 1
+                break
+            end = min(len(raw), end + PIECE)
+        piece = raw[at:end]
+        space = _SPACE[piece]
+        edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
+        first, last = edge[::2], edge[1::2]
+        up, down = _powers.to(len(piece))
+        sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(_LOWER[piece] * up[: len(piece)], dtype=U64)])
+        hashes.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(U64) * _ODD))
+        places.append(first + at)
+        at = end
+    return (np.concatenate(hashes), np.concatenate(places)) if hashes else (np.empty(0, dtype=U64), np.empty(0, dtype=np.int64))
+
+
+def padded(text: bytes, ends: np.ndarray, order: int):
+    """(tokens of all texts, each after order - 1 marks and closed by END; start of each text in them; its words).
+
+    text: texts that are each followed by white space; ends: the place behind each.
+    """
+    hashes, places = word_hashes(text)
+    n_words = np.diff(np.searchsorted(places, ends), prepend=0)
+    size = n_words + order
+    starts = np.cumsum(size) - size
+    out = np.full(int(size.sum()), END, dtype=U64)
+    for k in range(order - 1):
+        out[starts + k] = BEFORE[order - 1 - k]
+    number = np.arange(len(hashes)) + np.repeat(starts + order - 1 - (np.cumsum(n_words) - n_words), n_words)
+    out[number] = hashes
+    return out, starts, n_words
 
 
-class _Memo(dict):
-    def __missing__(self, word):
-        self[word] = x = xxhash.xxh3_64_intdigest(word)
-        return x
+class Hot:
+    """Words that are split: their hashes in order, and their counts in training."""
 
+    def __init__(self, words: dict[int, int], part: int):
+        self.words = np.array(sorted(words), dtype=U64)
+        self.counts = np.array([words[w] for w in sorted(words)], dtype=np.int64)
+        self.part = part
 
-def tokens(texts, memo: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens of all texts one after another, each text closed by END; number of tokens of each text)."""
-    if len(memo) > MEMO:
-        memo.clear()
-    end = int(END)
-    ids: list[int] = []
-    sizes = []
-    for t in texts:
-        words = (t or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
-        ids.extend(map(memo.__getitem__, words))
-        ids.append(end)
-        sizes.append(len(words) + 1)
-    return np.array(ids, dtype=U64), np.array(sizes, dtype=np.int64)
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        """Counts, 0 for words that are not split."""
+        if not len(self.words):
+            return np.zeros(len(ids), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.words, ids), len(self.words) - 1)
+        return np.where(self.words[at] == ids, self.counts[at], 0)
 
 
-def ngram_keys(ids: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
-    """Key of the n-gram that ends at each token; contexts are filled up with START."""
-    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = np.arange(len(ids)) - start
-    context = np.zeros(len(ids), dtype=U64)
-    for back in range(order - 1, 0, -1):
-        prev = np.full(len(ids), START, dtype=U64)
-        ok = place >= back
-        prev[ok] = ids[np.flatnonzero(ok) - back]
-        context = mix(context + prev)
-    return (mix(context) & U64(0xFFFFFFFF00000000)) | (mix(ids) >> U64(32))
+def shard_of(word: np.ndarray, second, third, shards: int) -> np.ndarray:
+    return (mix(word + second * _ODD + third * U64(0xC2B2AE3D27D4EB4F)) % U64(shards)).astype(np.int64)
 
 
-def shard_of(keys: np.ndarray, shards: int, order: int) -> np.ndarray:
-    """Shard of each key: unigrams by their hash, others by context and range of the word."""
-    part = keys if order == 1 else (keys >> U64(32 - SPLIT_BITS)) * U64(0x9E3779B97F4A7C15)
-    return (mix(part) % U64(shards)).astype(np.int64)
+class Grams:
+    """The n-grams of a chunk as a trie for each shard.
 
+    level k: the nodes of all shards one after another as columns; at[k]: the node of the window of k + 1 tokens that
+    starts at each place; bounds[k]: where each shard's nodes start.  count[k]: training counts.
+    """
 
-def _grouped(keys: np.ndarray, shards: int, order: int):
-    """(distinct keys by shard and then value, place of each token's key among them, bounds of the shards)."""
-    unique, inverse = np.unique(keys, return_inverse=True)
-    shard = shard_of(unique, shards, order)
-    by = np.argsort(shard, kind="stable")
-    place = np.empty(len(by), dtype=np.int64)
-    place[by] = np.arange(len(by))
-    return unique[by], place[inverse], np.searchsorted(shard[by], np.arange(shards + 1))
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, train: np.ndarray, order: int, shards: int, hot: Hot):
+        n = len(ids)
+        left = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) - np.arange(n)  # tokens from here to the text's end
+        vocabulary, word = np.unique(ids, return_inverse=True)
+        known = hot.of(vocabulary)
+        self.vocabulary, self.word = vocabulary, word
+        nxt = np.append(np.arange(1, n), n - 1) if n else np.empty(0, dtype=np.int64)
+        nxt2 = nxt[nxt] if n else nxt
+        # parts by the second word, and of pairs of two split words by the third
+        parts = np.maximum(1, -(-known // hot.part))
+        second = np.where(left > 1, (vocabulary[word[nxt]] >> U64(7)) % parts[word].astype(U64), 0).astype(U64)
+        pair = np.where((left > 1) & (known[word] > 0) & (known[word[nxt]] > 0), np.minimum(parts[word], parts[word[nxt]]), 1) if order > 2 else np.ones(n, dtype=np.int64)
+        third = np.where(left > 2, (vocabulary[word[nxt2]] >> U64(9)) % pair.astype(U64), 0).astype(U64)
+        shard = shard_of(ids, second, third, shards)
+        # all shards of a split pair get its whole count, also those that hold none of its windows here
+        split = np.flatnonzero((pair > 1) & (left > 1))
+        more_shard, more_word, more_next, more_count = (np.empty(0, dtype=np.int64),) * 4
+        if len(split):
+            both = word[split].astype(np.int64) * len(vocabulary) + word[nxt[split]]
+            _, first, inverse = np.unique(both, return_index=True, return_inverse=True)
+            total = np.bincount(inverse, train[split]).astype(np.int64)
+            k = pair[split[first]]
+            p = np.repeat(split[first], k)
+            r = (np.arange(len(p)) - np.repeat(np.cumsum(k) - k, k)).astype(U64)
+            more_shard, more_word, more_next, more_count = shard_of(ids[p], second[p], r, shards), word[p], word[nxt[p]], np.repeat(total, k)
+        # roots: where windows start, and each word once in its own place, for its count
+        own = shard_of(vocabulary, U64(0), U64(0), shards)
+        key = lambda s, w: s.astype(np.int64) * len(vocabulary) + w
+        roots, inverse = np.unique(np.concatenate([key(shard, word), key(more_shard, more_word), key(own, np.arange(len(vocabulary)))]), return_inverse=True)
+        self.own = inverse[n + len(more_word) :]
+        counts = np.zeros(len(roots), dtype=np.int64)
+        counts[self.own] = np.bincount(word, train, len(vocabulary)).astype(np.int64)
+        self.at, self.count, self.levels, self.parents = [inverse[:n]], [counts], [roots % max(1, len(vocabulary))], []
+        shard_at = roots // max(1, len(vocabulary))
+        self.bounds = [np.searchsorted(shard_at, np.arange(shards + 1))]
+        above, reach = self.at[0], nxt
+        extra = inverse[n : n + len(more_word)]
+        for k in range(1, order):
+            there = np.flatnonzero(left > k)
+            mine = above[there].astype(np.int64) * len(vocabulary) + word[reach[there]]
+            with_extra = np.concatenate([mine, extra.astype(np.int64) * len(vocabulary) + more_next]) if k == 1 else mine
+            nodes, inverse = np.unique(with_extra, return_inverse=True)
+            counts = np.bincount(inverse[: len(there)], train[there], len(nodes)).astype(np.int64)
+            if k == 1 and len(more_next):
+                counts[inverse[len(there) :]] = more_count
+            at = np.full(n, -1, dtype=np.int64)
+            at[there] = inverse[: len(there)]
+            parent = nodes // max(1, len(vocabulary))
+            self.parents.append(parent)
+            self.levels.append(nodes - parent * max(1, len(vocabulary)))
+            self.at.append(at)
+            self.count.append(counts)
+            self.bounds.append(np.searchsorted(parent, self.bounds[-1]))
+            above, reach = at, nxt[reach]
+        self.left = left
+
+    def trie(self, s: int) -> bytes:
+        """The nodes of a shard with their counts; nothing if there are none."""
+        if self.bounds[0][s] == self.bounds[0][s + 1]:
+            return b""
+        cut = lambda k: slice(self.bounds[k][s], self.bounds[k][s + 1])
+        below = range(1, len(self.levels))
+        parents = [self.parents[k - 1][cut(k)] - self.bounds[k - 1][s] for k in below]
+        words = [self.levels[k][cut(k)] for k in below]
+        used = np.zeros(len(self.vocabulary), dtype=bool)
+        for w in words:
+            used[w] = True
+        number = np.cumsum(used) - 1
+        trie = Trie.of(self.vocabulary[used] >> U64(32), self.vocabulary[self.levels[0][cut(0)]], parents, [number[w] for w in words], [[_small(x[cut(k)])] for k, x in enumerate(self.count)], linked=False)
+        return zstandard.ZstdCompressor(level=1).compress(trie.tobytes())
 
 
 def _small(counts: np.ndarray) -> np.ndarray:
@@ -89,135 +211,223 @@ def _small(counts: np.ndarray) -> np.ndarray:
     return counts.astype("<u1" if top < 256 else "<u2" if top < 65536 else "<u4" if top < 1 << 32 else "<u8")
 
 
+def asked_for(body: bytes) -> Trie:
+    """What Grams.trie() gave."""
+    return Trie.read(np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8))
+
+
+def shard_model(asked: list[Trie], hot: Hot, order: int) -> Trie:
+    """The shard's trie of all chunks' training counts.  payload: counts and b of the roots, then a and b of each level, a alone of the last."""
+    heard = [t.vocabulary.values() for t in asked]
+    vocabulary = np.unique(np.concatenate(heard))
+    number = [np.searchsorted(vocabulary, x) for x in heard]
+    place, levels, totals = [None] * len(asked), [], []
+    for k in range(order):
+        keys = []
+        for i, t in enumerate(asked):
+            if k:
+                parent, word = t.nodes(k)
+                keys.append(place[i][parent] << 32 | number[i][word])
+            else:
+                keys.append(t.words[0].values())
+        sizes = [len(x) for x in keys]
+        nodes, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        # bincount adds in double precision, which is exact up to 2**53
+        total = np.bincount(inverse, np.concatenate([t.payload[k][0] for t in asked]), len(nodes)).astype(np.int64)
+        place = np.split(inverse, np.cumsum(sizes)[:-1])
+        levels.append(nodes)
+        totals.append(total)
+    payload = []
+    whole = totals[0]
+    if len(hot.words):
+        known = hot.of(levels[0])
+        whole = np.where(known > 0, known, whole)
+    for k in range(order):
+        arrays = [totals[0].astype("<u8")] if k == 0 else [quantise(totals[k] / (above + MASS[k + 1]))]
+        if k + 1 < order:
+            context = whole if k == 0 else totals[k]
+            arrays.append(quantise(MASS[k + 2] / (context + MASS[k + 2])))
+            above = context[levels[k + 1] >> 32]
+        payload.append(arrays)
+    return Trie.of(vocabulary, levels[0], [x >> 32 for x in levels[1:]], [x & 0xFFFFFFFF for x in levels[1:]], payload)
+
+
+def answer(model: Trie, asked: Trie) -> bytes:
+    """The payload of each node that a chunk asked for."""
+    out, place, number = [], None, model.numbers(asked.vocabulary.values())
+    for k in range(len(asked.words)):
+        if k:
+            parent, word = asked.nodes(k)
+            place = model.child(k, place[parent], number[word])
+        else:
+            place = model.root(asked.words[0].values())
+        for i, x in enumerate(model.payload[k]):
+            none = quantise(np.ones(1))[0] if i else 0  # what is not there has a count or an a of 0, and a b of 1
+            got = np.where(place >= 0, x[np.maximum(place, 0)], none) if len(x) else np.full(len(place), none)
+            got = _small(got) if k == 0 and i == 0 else got.astype("<u2")
+            out.append(got.dtype.str.encode().ljust(4) + struct.pack("<Q", got.nbytes) + got.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def answered(body: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(body), 0, []
+    while at < len(raw):
+        size = struct.unpack_from("<Q", raw, at + 4)[0]
+        out.append(np.frombuffer(raw[at + 12 : at + 12 + size], raw[at : at + 4].decode().strip()))
+        at += 12 + size
+    return out
+
+
+def scores(g: Grams, starts: np.ndarray, n_words: np.ndarray, answers: list, order: int, total: int, distinct: int, hot: Hot):
+    """(base score, score, known tokens) of each text from the answers of the shards."""
+    got = [[np.zeros(len(x), dtype=np.float64) for _ in range(2 if k + 1 < order else 1)] for k, x in enumerate(g.levels)]
+    for s, arrays in answers:
+        at = 0
+        for k in range(order):
+            a, z = g.bounds[k][s], g.bounds[k][s + 1]
+            for i in range(len(got[k])):
+                got[k][i][a:z] = arrays[at] if k == 0 and i == 0 else probability(arrays[at])
+                at += 1
+    known = hot.of(g.vocabulary)
+    count = np.where(known > 0, known, got[0][0][g.own])[g.word]
+    p = (count + ADD) / (total + ADD * (distinct + 1))
+    base = np.log10(p)
+    for k in range(1, order):
+        # the window of k + 1 tokens that ends at a token starts k before it; its context is the window's node one level up
+        a = got[k][0][g.at[k]]
+        b = got[k - 1][1][g.at[k - 1]]
+        q = p.copy()
+        q[k:] = a[: len(p) - k] + b[: len(p) - k] * p[k:]
+        p = q
+    first = starts + order - 1
+    edges = np.stack([first, first + n_words + 1], axis=1).ravel()
+    add = lambda x: np.add.reduceat(np.append(x, 0.0), edges)[::2]
+    with np.errstate(divide="ignore"):
+        return add(base), add(np.log10(p)), add((count > 0).astype(np.float64)).astype(np.int64)
+
+
 def held_out_of(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 10 == 0, F.lit(False))
 
 
-def _vocabulary(df: DataFrame, shards: int) -> tuple[int, int]:
-    """(tokens, distinct tokens) of the training texts."""
+_CHUNK = "chunk bigint, ids array<bigint>, held array<boolean>, ends binary, body binary"
 
-    def gather(batches):
-        memo = _Memo()
-        seen, total = np.empty(0, dtype=U64), 0
-        for b in batches:
-            ids, _ = tokens(b.column(0).to_pylist(), memo)
-            total += len(ids)
-            seen = np.union1d(seen, ids)
-        shard = shard_of(seen, shards, 1)
-        rows = [(s, seen[shard == s].tobytes()) for s in np.unique(shard).tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([total if i == 0 else 0 for i in range(len(rows))], pa.int64())], names=["shard", "body", "n"])
-
-    def count(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, U64) for x in table.column("body").to_pylist()]
-        return pa.table({"v": pa.array([len(np.unique(np.concatenate(parts)))], pa.int64()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
-
-    sent = df.where("not held_out").select("text").mapInArrow(gather, "shard int, body binary, n bigint")
-    x = sent.groupBy("shard").applyInArrow(count, "v bigint, n bigint").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    return int(x["n"] or 0), int(x["v"] or 0)
-
-
-def _request(shards: int, order: int):
-    """A chunk's rows chunk, group, body: for each order and shard the level of its n-grams with training counts."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("n_bytes", "ascending")])
-        ids, sizes = tokens(table.column("text").to_pylist(), _Memo())
-        train = np.repeat(~np.array(table.column("held_out").to_pylist(), dtype=bool), sizes)
-        rows = []
-        for n in range(1, order + 1):
-            keys, place, bounds = _grouped(ids if n == 1 else ngram_keys(ids, sizes, n), shards, n)
-            counts = np.bincount(place[train], minlength=len(keys))
-            for s in range(shards):
-                a, z = bounds[s], bounds[s + 1]
-                if a < z:
-                    rows.append(((n - 1) * shards + s, Level.of(keys[a:z], _small(counts[a:z])).tobytes()))
-        chunk = table.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int32()), "group": pa.array([r[0] for r in rows], pa.int32()), "body": pa.array([r[1] for r in rows], pa.binary())})
 
-    return run
+def _chunked(chunk_bytes: int):
+    """Rows id, held_out, text to chunks of about so many bytes; a text is not parted."""
 
+    def run(batches):
+        from pyspark import TaskContext
 
-def _answer(shards: int):
-    """A shard's rows chunk, group, body: for each chunk the counts (unigrams) or codes of its n-grams."""
-
-    def run(table: pa.Table) -> pa.Table:
-        group = table.column("group")[0].as_py()
-        levels = [Level.read(np.frombuffer(x, np.uint8)) for x in table.column("body").to_pylist()]
-        asked = [x.keys() for x in levels]
-        keys = np.concatenate(asked)
-        counts = np.concatenate([x.payload.astype(np.int64) for x in levels])
-        keys, counts = keys[counts > 0], counts[counts > 0]
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
-        keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
-        payload = counts.astype("<u8") if group < shards else quantise(counts, codebook())
-        with tempfile.TemporaryDirectory() as folder:
-            model = Level.of(keys, payload).save(f"{folder}/level")
-            found = [_small(model.find(q)) if group < shards else model.find(q) for q in asked]
-            del model
-        body = [x.dtype.str.encode().ljust(4) + x.tobytes() for x in found]
-        return pa.table({"chunk": table.column("chunk"), "group": table.column("group"), "body": pa.array(body, pa.binary())})
+        part, number = TaskContext.get().partitionId(), 0
+        ids, held, texts, size = [], [], [], 0
+
+        def chunk():
+            raw = b"\n".join([*texts, b""])
+            ends = np.cumsum([len(t) + 1 for t in texts]).astype("<i8")
+            row = [[(part << 32) + number], [ids], [held], [ends.tobytes()], [zstandard.ZstdCompressor(level=1).compress(raw)]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "ids", "held", "ends", "body"])
+
+        for b in batches:
+            for i, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                t = (t or "").encode("utf-8", "replace")
+                ids.append(i), held.append(h), texts.append(t)
+                size += len(t) + 32
+                if size >= chunk_bytes:
+                    yield chunk()
+                    ids, held, texts, size, number = [], [], [], 0, number + 1
+        if ids:
+            yield chunk()
 
     return run
 
 
-def _score(shards: int, order: int, total: int, distinct: int):
-    """A chunk's texts and the answers for it, to the rows of score()."""
-
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        docs = docs.sort_by([("id", "ascending"), ("n_bytes", "ascending")])
-        ids, sizes = tokens(docs.column("text").to_pylist(), _Memo())
-        body = dict(zip(answers.column("group").to_pylist(), answers.column("body").to_pylist(), strict=True))
-        own = {}
-        for n in range(1, order + 1):
-            keys, place, bounds = _grouped(ids if n == 1 else ngram_keys(ids, sizes, n), shards, n)
-            got = np.zeros(len(keys), dtype=np.float64)
-            for s in range(shards):
-                a, z = bounds[s], bounds[s + 1]
-                if a < z:
-                    x = body[(n - 1) * shards + s]
-                    got[a:z] = np.frombuffer(x, np.dtype(x[:4].decode().strip()), offset=4) if n == 1 else codebook()[np.frombuffer(x, np.uint8, offset=4)]
-            own[n] = got[place]
-        first = np.cumsum(sizes) - sizes
-        c = own[1]
-        p = (c + ADD) / (total + ADD * (distinct + 1))
-        base = np.add.reduceat(np.log10(p), first)
-        # how often the context was seen: a word as often as it was read, the start once a text
-        ends = c[first + sizes - 1]
-        for n in range(2, order + 1):
-            seen = np.empty_like(c)
-            seen[1:] = own[n - 1][:-1]
-            seen[first] = ends
-            p = (own[n] + MASS[n] * p) / (np.maximum(seen, own[n]) + MASS[n])
-        score = np.add.reduceat(np.log10(p), first)
-        known = np.add.reduceat((c > 0).astype(np.int64), first)
-        return pa.table({"id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([total] * len(sizes), pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
+def _read(ends: bytes, body: bytes):
+    return zstandard.ZstdDecompressor().decompress(body), np.frombuffer(ends, "<i8")
 
-    return run
+
+def _grams(row: dict, order: int, shards: int, hot: Hot):
+    text, ends = _read(row["ends"], row["body"])
+    ids, starts, n_words = padded(text, ends, order)
+    train = np.repeat(~np.array(row["held"], dtype=bool), n_words + order)
+    return Grams(ids, starts, train, order, shards, hot), starts, n_words
 
 
-def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2, held_out: Column | None = None) -> DataFrame:
+def _vocabulary(df: DataFrame, shards: int, hot: int) -> tuple[int, int, dict[int, int]]:
+    """(tokens, distinct tokens, words of `hot` tokens or more with their counts) of the training texts."""
+
+    def gather(batches):
+        seen, count = np.empty(0, dtype=U64), np.empty(0, dtype=np.int64)
+        for b in batches:
+            texts = [(t or "").encode("utf-8", "replace") for t in b.column(0).to_pylist()]
+            ids, n = np.unique(word_hashes(b"\n".join([*texts, b""]))[0], return_counts=True)
+            if texts:
+                ids, n = np.append(ids, END), np.append(n, len(texts))
+            seen, inverse = np.unique(np.concatenate([seen, ids]), return_inverse=True)
+            count = np.bincount(inverse, np.concatenate([count, n]), len(seen)).astype(np.int64)
+        shard = shard_of(seen, U64(0), U64(0), shards)
+        by = np.argsort(shard, kind="stable")
+        seen, count, bounds = seen[by], count[by], np.searchsorted(shard[by], np.arange(shards + 1))
+        rows = [(s, seen[a:z].tobytes(), count[a:z].astype("<i8").tobytes()) for s, (a, z) in enumerate(zip(bounds, bounds[1:])) if a < z]
+        kinds = [pa.int32(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["shard", "words", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        words, inverse = np.unique(np.frombuffer(b"".join(table.column("words").to_pylist()), U64), return_inverse=True)
+        n = np.bincount(inverse, np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i8"), len(words)).astype(np.int64)
+        often = np.flatnonzero(n >= hot)
+        return pa.table({"v": [len(words)], "n": [int(n.sum())], "hot": pa.array([words[often].view(np.int64).tolist()], pa.list_(pa.int64())), "c": pa.array([n[often].tolist()], pa.list_(pa.int64()))})
+
+    sent = df.where("not held_out").select("text").mapInArrow(gather, "shard int, words binary, counts binary")
+    found = sent.repartition(shards, "shard").groupBy("shard").applyInArrow(add, "v bigint, n bigint, hot array<bigint>, c array<bigint>")
+    rows = found.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.flatten(F.collect_list("hot")).alias("hot"), F.flatten(F.collect_list("c")).alias("c")).first()  # at most tokens / hot words
+    return int(rows["n"] or 0), int(rows["v"] or 0), dict(zip([x & 0xFFFFFFFFFFFFFFFF for x in rows["hot"]], rows["c"], strict=True))
+
+
+def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 3, held_out: Column | None = None, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of df.
 
     The model learns from the rows that are not held out; held_out: by default those whose crc32 of the key as
     text is divisible by 10 (a null key is not held out).  Tokens: words (A-Z lower-cased), then one end; null and empty texts
-    have only the end.  base_score: log10 of the add-0.1 unigram probability; score: of the model of the
-    given order.  Repeated rows each count and get their own row; further columns are left out.  With no
-    training rows all counts are zero.
+    have only the end.  base_score: log10 of the add-0.1 unigram probability; score: of the model of the given order
+    (2 or more).  Repeated rows each count and get their own row; further columns are left out.  With no training rows all
+    counts are zero.  hot: tokens of a word from which it is split.
     """
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"), (held_out if held_out is not None else held_out_of(F.col(key))).alias("held_out"))
-    size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
-    chunks, shards = -(-size // CHUNK_BYTES) or 1, -(-size // SHARD_BYTES) or 1
-    total, distinct = _vocabulary(rows, shards)
-    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0))
-    dealt = rows.select(F.pmod(F.xxhash64("id", n_bytes), F.lit(chunks)).cast("int").alias("chunk"), "id", n_bytes.alias("n_bytes"), "held_out", "text")
-    asked = dealt.groupBy("chunk").applyInArrow(_request(shards, order), "chunk int, group int, body binary")
-    answers = asked.groupBy("group").applyInArrow(_answer(shards), "chunk int, group int, body binary")
+    spark = df.sparkSession
+    rows = df.select(col(key).cast("bigint").alias("id"), (held_out if held_out is not None else held_out_of(col(key))).alias("held_out"), col(text).alias("text"))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0
+    chunks, shards = -(-size // chunk_bytes) or 1, -(-size // shard_bytes) or 1
+    total, distinct, often = _vocabulary(rows, shards, hot)
+    shared = spark.sparkContext.broadcast(Hot(often, hot))  # 16 bytes for each hot word
+
+    def request(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                g = _grams(row, order, shards, shared.value)[0]
+                for s in range(shards):
+                    if body := g.trie(s):
+                        yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([s], pa.int32()), pa.array([body], pa.binary())], names=["chunk", "shard", "body"])
+
+    def look_up(table: pa.Table) -> pa.Table:
+        asked = [asked_for(x) for x in table.column("body").to_pylist()]
+        with tempfile.TemporaryDirectory() as folder:  # the task's own, gone when it ends
+            model = shard_model(asked, shared.value, order).save(f"{folder}/trie")
+            body = [answer(model, x) for x in asked]
+            del model
+        return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "body": pa.array(body, pa.binary())})
+
+    def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        row = docs.to_pylist()[0]
+        g, starts, n_words = _grams(row, order, shards, shared.value)
+        got = ((s.as_py(), answered(x.as_py())) for s, x in zip(answers.column("shard"), answers.column("body"), strict=True))
+        base, full, known = scores(g, starts, n_words, got, order, total, distinct, shared.value)
+        n = len(row["ids"])
+        return pa.table({"id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(n_words + 1, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(full)})
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.mapInArrow(_chunked(chunk_bytes), _CHUNK).repartition(max(least, chunks // 2), "chunk")
+    asked = dealt.mapInArrow(request, "chunk bigint, shard int, body binary").repartition(max(least, shards), "shard")
+    answers = asked.groupBy("shard").applyInArrow(look_up, "chunk bigint, shard int, body binary")
     kinds = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(shards, order, total, distinct), kinds).withColumnRenamed("id", key)
-
-
-def held_out_key(doc_id) -> bool:
-    """The default rule in Python."""
-    return crc32(str(doc_id).encode()) % 10 == 0
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, kinds).withColumnRenamed("id", key)
