@@ -9,12 +9,16 @@ The model interpolates: P(w | h) = a(h w) + b(h) P(w | shorter h), with a(h w) =
 b(h) = M / (c(h) + M), down to the unigrams.  A node of the trie holds a and, for what follows it, b; both add up
 to one over all w up to their rounding.
 
+With very many chunks and shards, requests and answers go by way of relays, each for a group of shards and a block of
+chunks, so that the rows grow with the power 1.5 of the input and not with its square.
+
 Words that occur very often are split: their pairs are dealt by the second word as well, and pairs of two such words
 by the third, so no shard grows with a word or a pair.  Such a word's count is known to all, and each of a pair's
 shards is sent the pair's whole count.
 """
 from __future__ import annotations
 
+import math
 import struct
 import tempfile
 
@@ -32,6 +36,8 @@ from .minhash import mix
 MASS, CHUNK_BYTES, SHARD_BYTES = {2: 20.0, 3: 10.0, 4: 10.0, 5: 10.0}, 8_000_000, 16_000_000
 #: Tokens of a word from which it is split, into parts of about so many.
 HOT = 2_000_000
+#: Distinct words that a task counts before it passes them on.
+WORDS = 2_000_000
 #: Rows between chunks and shards up to which they are sent straight; above, by way of relays.
 DIRECT = 50_000_000
 #: Add-constant of the unigrams (fixed by the base score).
@@ -347,6 +353,43 @@ def _read(ends: bytes, body: bytes):
     return zstandard.ZstdDecompressor().decompress(body), np.frombuffer(ends, "<i8")
 
 
+def parcel(items: list[tuple[int, bytes]]) -> bytes:
+    """Numbered bodies as one."""
+    return struct.pack("<Q", len(items)) + b"".join(struct.pack("<qQ", i, len(x)) for i, x in items) + b"".join(x for _, x in items)
+
+
+def opened(body: bytes) -> list[tuple[int, bytes]]:
+    (n,) = struct.unpack_from("<Q", body)
+    at, out = 8 + 16 * n, []
+    for k in range(n):
+        i, size = struct.unpack_from("<qQ", body, 8 + 16 * k)
+        out.append((i, body[at : at + size]))
+        at += size
+    return out
+
+
+#: A parcel on its way: the place it goes to, the block of chunks it belongs to, and where it comes from.
+_SENT = "at bigint, block bigint, source bigint, body binary"
+
+
+def _row(at: int, block: int, source: int, body: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([block], pa.int64()), pa.array([source], pa.int64()), pa.array([body], pa.binary())], names=["at", "block", "source", "body"])
+
+
+def _relay(table: pa.Table) -> pa.Table:
+    """Parcels of one group of shards and one block of chunks, regrouped by what they hold: from chunks to shards, or back."""
+    by: dict[int, list] = {}
+    for source, body in zip(table.column("source").to_pylist(), table.column("body").to_pylist(), strict=True):
+        for i, x in opened(body):
+            by.setdefault(i, []).append((source, x))
+    block = table.column("block")[0].as_py()
+    return pa.table({"at": pa.array(list(by), pa.int64()), "block": pa.array([block] * len(by), pa.int64()), "source": pa.array([-1] * len(by), pa.int64()), "body": pa.array([parcel(x) for x in by.values()], pa.binary())})
+
+
+def _mixed(chunk: int) -> int:
+    return int(mix(np.array([chunk], dtype=U64))[0])
+
+
 def _grams(row: dict, order: int, shards: int, hot: Hot):
     text, ends = _read(row["ends"], row["body"])
     ids, starts, n_words = padded(text, ends, order)
@@ -354,7 +397,7 @@ def _grams(row: dict, order: int, shards: int, hot: Hot):
     return Grams(ids, starts, train, order, shards, hot), starts, n_words
 
 
-def _vocabulary(df: DataFrame, shards: int, hot: int) -> tuple[int, int, dict[int, int]]:
+def _vocabulary(df: DataFrame, hot: int) -> tuple[int, int, dict[int, int]]:
     """(tokens, distinct tokens, words of `hot` tokens or more with their counts) of the training texts."""
 
     def gather(batches):
@@ -366,68 +409,80 @@ def _vocabulary(df: DataFrame, shards: int, hot: int) -> tuple[int, int, dict[in
                 ids, n = np.append(ids, END), np.append(n, len(texts))
             seen, inverse = np.unique(np.concatenate([seen, ids]), return_inverse=True)
             count = np.bincount(inverse, np.concatenate([count, n]), len(seen)).astype(np.int64)
-        shard = shard_of(seen, U64(0), U64(0), shards)
-        by = np.argsort(shard, kind="stable")
-        seen, count, bounds = seen[by], count[by], np.searchsorted(shard[by], np.arange(shards + 1))
-        rows = [(s, seen[a:z].tobytes(), count[a:z].astype("<i8").tobytes()) for s, (a, z) in enumerate(zip(bounds, bounds[1:])) if a < z]
-        kinds = [pa.int32(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["shard", "words", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        words, inverse = np.unique(np.frombuffer(b"".join(table.column("words").to_pylist()), U64), return_inverse=True)
-        n = np.bincount(inverse, np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i8"), len(words)).astype(np.int64)
-        often = np.flatnonzero(n >= hot)
-        return pa.table({"v": [len(words)], "n": [int(n.sum())], "hot": pa.array([words[often].view(np.int64).tolist()], pa.list_(pa.int64())), "c": pa.array([n[often].tolist()], pa.list_(pa.int64()))})
-
-    sent = df.where("not held_out").select("text").mapInArrow(gather, "shard int, words binary, counts binary")
-    found = sent.repartition(shards, "shard").groupBy("shard").applyInArrow(add, "v bigint, n bigint, hot array<bigint>, c array<bigint>")
-    rows = found.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.flatten(F.collect_list("hot")).alias("hot"), F.flatten(F.collect_list("c")).alias("c")).first()  # at most tokens / hot words
-    return int(rows["n"] or 0), int(rows["v"] or 0), dict(zip([x & 0xFFFFFFFFFFFFFFFF for x in rows["hot"]], rows["c"], strict=True))
-
-
-def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 3, held_out: Column | None = None, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+            if len(seen) > WORDS:
+                yield from sent(seen, count)
+                seen, count = seen[:0], count[:0]
+        yield from sent(seen, count)
+
+    def sent(seen, count):
+        for a in range(0, len(seen), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(seen[a : a + 50_000].view(np.int64)), pa.array(count[a : a + 50_000])], names=["w", "n"])
+
+    words = df.where("not held_out").select("text").mapInArrow(gather, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    often = F.collect_list(F.when(F.col("n") >= hot, F.struct("w", "n")))  # at most tokens / hot words
+    x = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), often.alias("hot")).first()
+    return int(x["n"] or 0), int(x["v"]), {r["w"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in x["hot"]}
+
+
+def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 3, held_out: Column | None = None, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, hot: int = HOT, direct: int = DIRECT) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of df.
 
     The model learns from the rows that are not held out; held_out: by default those whose crc32 of the key as
     text is divisible by 10 (a null key is not held out).  Tokens: words (A-Z lower-cased), then one end; null and empty texts
     have only the end.  base_score: log10 of the add-0.1 unigram probability; score: of the model of the given order
     (2 or more).  Repeated rows each count and get their own row; further columns are left out.  With no training rows all
-    counts are zero.  hot: tokens of a word from which it is split.
+    counts are zero.  hot: tokens of a word from which it is split; direct: see DIRECT.
     """
     spark = df.sparkSession
     rows = df.select(col(key).cast("bigint").alias("id"), (held_out if held_out is not None else held_out_of(col(key))).alias("held_out"), col(text).alias("text"))
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0
     chunks, shards = -(-size // chunk_bytes) or 1, -(-size // shard_bytes) or 1
-    total, distinct, often = _vocabulary(rows, shards, hot)
+    total, distinct, often = _vocabulary(rows, hot)
     shared = spark.sparkContext.broadcast(Hot(often, hot))  # 16 bytes for each hot word
 
+    routed = chunks * shards > direct
+    per = math.isqrt(shards - 1) + 1 if routed else 1  # shards in a group
+    blocks = math.isqrt(chunks - 1) + 1
+
     def request(batches):
         for b in batches:
             for row in b.to_pylist():
                 g = _grams(row, order, shards, shared.value)[0]
-                for s in range(shards):
-                    if body := g.trie(s):
-                        yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([s], pa.int32()), pa.array([body], pa.binary())], names=["chunk", "shard", "body"])
+                for first in range(0, shards, per):
+                    own = [(s, body) for s in range(first, min(first + per, shards)) if (body := g.trie(s))]
+                    if own and routed:
+                        yield _row(first // per, _mixed(row["chunk"]) % blocks, row["chunk"], parcel(own))
+                    elif own:
+                        yield _row(own[0][0], row["chunk"], row["chunk"], parcel([(row["chunk"], own[0][1])]))
 
     def look_up(table: pa.Table) -> pa.Table:
-        asked = [asked_for(x) for x in table.column("body").to_pylist()]
+        shard = table.column("at")[0].as_py()
+        parcels = [opened(x) for x in table.column("body").to_pylist()]
+        asked = [asked_for(body) for own in parcels for _, body in own]
         with tempfile.TemporaryDirectory() as folder:  # the task's own, gone when it ends
             model = shard_model(asked, shared.value, order).save(f"{folder}/trie")
-            body = [answer(model, x) for x in asked]
+            told = (answer(model, x) for x in asked)
+            out = [parcel([(chunk, next(told)) for chunk, _ in own]) for own in parcels]
             del model
-        return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "body": pa.array(body, pa.binary())})
+        return pa.table({"at": pa.array([shard // per] * len(out), pa.int64()), "block": table.column("block"), "source": pa.array([shard] * len(out), pa.int64()), "body": pa.array(out, pa.binary())})
 
     def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
         row = docs.to_pylist()[0]
         g, starts, n_words = _grams(row, order, shards, shared.value)
-        got = ((s.as_py(), answered(x.as_py())) for s, x in zip(answers.column("shard"), answers.column("body"), strict=True))
+        rows = zip(answers.column("source").to_pylist(), answers.column("body"), strict=True)
+        got = ((i if routed else shard, answered(y)) for shard, x in rows for i, y in opened(x.as_py()))
         base, full, known = scores(g, starts, n_words, got, order, total, distinct, shared.value)
         n = len(row["ids"])
         return pa.table({"id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(n_words + 1, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(full)})
 
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.mapInArrow(_chunked(chunk_bytes), _CHUNK).repartition(max(least, chunks // 2), "chunk")
-    asked = dealt.mapInArrow(request, "chunk bigint, shard int, body binary").repartition(max(least, shards), "shard")
-    answers = asked.groupBy("shard").applyInArrow(look_up, "chunk bigint, shard int, body binary")
+    relayed = lambda df, n: df.repartition(n, "at", "block").groupBy("at", "block").applyInArrow(_relay, _SENT)
+    asked = dealt.mapInArrow(request, _SENT)
+    if routed:
+        asked = relayed(asked, max(least, chunks // 2))
+    answers = asked.repartition(max(least, shards), "at").groupBy("at").applyInArrow(look_up, _SENT)
+    # a straight answer's block is its chunk
+    answers = relayed(answers, max(least, chunks // 2)).withColumnRenamed("at", "chunk") if routed else answers.select(F.col("block").alias("chunk"), "source", "body")
     kinds = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, kinds).withColumnRenamed("id", key)

@@ -66,8 +66,11 @@ def scored(df, **kw):
 def test_against_brute_force(spark, order):
     rows = [*enumerate(TEXTS), (2, "a c c"), (2, "a c c"), (None, "a b c")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("id", F.lit("clash")).withColumn("chunk", F.lit(1)).withColumn("held_out", F.lit("clash"))
-    got = scored(df, order=order, chunk_bytes=2000, shard_bytes=3000) if order == 3 else scored(df, order=order)
-    same(got, plain(rows, order))
+    want = plain(rows, order)
+    # many small chunks and shards, then also by way of relays
+    for kw in ({}, {"chunk_bytes": 2000, "shard_bytes": 100_000}, {"chunk_bytes": 2000, "shard_bytes": 300_000, "direct": 0}) if order == 3 else ({},):
+        got = scored(df, order=order, **kw)
+        same(got, want)
     assert any(x[1] for x in got)
 
 
