@@ -16,6 +16,8 @@ from .tree import below, digest, entry_words
 CHANGES = ("Added", "Removed", "Modified", "Move", "Copy")
 #: Rounds of the search for sources that no line mentions, at most.
 ROUNDS = 32
+#: Directories that one task rolls up.
+FEW = 100_000
 
 
 def pair(a: DataFrame, b: DataFrame, hash_type: str = "sha1") -> DataFrame:
@@ -54,49 +56,34 @@ def _place(path: Column) -> dict[str, Column]:
     return {"depth": n, "parent": F.array_join(F.slice(p, 1, F.greatest(n - 1, F.lit(0))), "/"), "name": F.element_at(p, -1)}
 
 
-def rolled(files: DataFrame, dirs: DataFrame, matched: DataFrame | None = None) -> DataFrame:
-    """path, status, has_unch, source of each directory, from the deepest level up; one shuffle a level.
+_FLAGS = {
+    "all_unch": ("Unchanged",), "all_ms": ("MovedSource",), "all_rm": ("Removed", "MovedSource"), "all_add": ("Added", "Copy", "Move", "MovedSource"),
+}
+_KINDS = {"move": "Move", "copy": "Copy", "add": "Added", "mod": "Modified", "ms": "MovedSource"}
 
-    files: path, is_twin, status, source.  dirs: path, in_a.  matched: path, status, source of directories whose content was matched.
-    """
-    f = saved(files.select("path", "is_twin", "status", "source", (F.col("status") == "Unchanged").alias("has_unch")).withColumns(_place(F.col("path"))))
-    d = dirs.select("path", "in_a")
-    m = matched.select("path", F.col("status").alias("m_status"), F.col("source").alias("m_source")) if matched is not None else None
-    d = d.join(m, "path", "left") if m is not None else d.withColumns({"m_status": F.lit(None).cast("string"), "m_source": F.lit(None).cast("string")})
-    d = saved(d.withColumns(_place(F.col("path"))))
-    depth = d.agg(F.max("depth")).first()[0]
-    done, level = [], None
-    if depth is None:
-        return d.select("path", F.lit("").alias("status"), F.lit(False).alias("has_unch"), "m_source").withColumnRenamed("m_source", "source")
-    null = F.lit(None)
-    for k in range(depth, -1, -1):
-        child = f.where((F.col("depth") == k + 1) & ~F.col("is_twin")).select(F.col("parent").alias("key"), "name", "status", "source", "has_unch")
-        if level is not None:
-            child = child.unionByName(level.withColumns(_place(F.col("path"))).select(F.col("parent").alias("key"), "name", "status", "source", "has_unch"))
-        child = child.select("key", F.lit("child").alias("kind"), "name", "status", "source", "has_unch", null.cast("boolean").alias("in_a"))
-        own = d.where(F.col("depth") == k).select(F.col("path").alias("key"), F.lit("self").alias("kind"), null.cast("string").alias("name"), F.col("m_status").alias("status"), F.col("m_source").alias("source"), null.cast("boolean").alias("has_unch"), "in_a")
-        twin = f.where((F.col("depth") == k) & F.col("is_twin")).select(F.col("path").alias("key"), F.lit("twin").alias("kind"), null.cast("string").alias("name"), "status", null.cast("string").alias("source"), null.cast("boolean").alias("has_unch"), null.cast("boolean").alias("in_a"))
-        level = saved(_decide(child.unionByName(own).unionByName(twin)))
-        done.append(level)
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
 
-
-def _decide(rows: DataFrame) -> DataFrame:
-    is_child = F.col("kind") == "child"
+def _facts() -> list[Column]:
+    """What a directory has to know of one child (name, status, source, has_unch); facts of several are put together by _together()."""
     s = F.col("status")
-    every = lambda *of: F.coalesce(F.bool_and(F.when(is_child, s.isin(*of))), F.lit(True))
-    some = lambda *of: F.coalesce(F.bool_or(F.when(is_child, s.isin(*of))), F.lit(False))
-    first = lambda of: F.min_by(F.when(is_child & (s == of), F.col("source")), F.when(is_child & (s == of) & F.col("source").isNotNull(), F.col("name")))
-    only = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    g = rows.groupBy("key").agg(
-        every("Unchanged").alias("all_unch"), every("MovedSource").alias("all_ms"), every("Removed", "MovedSource").alias("all_rm"), every("Added", "Copy", "Move", "MovedSource").alias("all_add"),
-        some("Move").alias("move"), some("Copy").alias("copy"), some("Added").alias("add"), some("Modified").alias("mod"), some("MovedSource").alias("ms"),
-        F.coalesce(F.bool_or(F.when(is_child, F.col("has_unch"))), F.lit(False)).alias("unch"), F.count_if(is_child & s.isin(*CHANGES)).alias("n"),
-        first("Move").alias("move_src"), first("Copy").alias("copy_src"), only("self", "in_a").alias("dir_a"), only("self", "status").alias("m_status"), only("self", "source").alias("m_source"), only("twin", "status").alias("twin"),
-    )
+    first = lambda of: F.when((s == of) & F.col("source").isNotNull(), F.struct(F.col("name"), F.col("source")))
+    return [
+        *[s.isin(*of).alias(k) for k, of in _FLAGS.items()], *[(s == of).alias(k) for k, of in _KINDS.items()],
+        F.col("has_unch").alias("unch"), s.isin(*CHANGES).cast("bigint").alias("n"), first("Move").alias("move_src"), first("Copy").alias("copy_src"),
+    ]
+
+
+def _together() -> list[Column]:
+    every = lambda c: F.coalesce(F.bool_and(c), F.lit(True)).alias(c)
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
+    return [*map(every, _FLAGS), *map(some, [*_KINDS, "unch"]), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("move_src").alias("move_src"), F.min("copy_src").alias("copy_src")]
+
+
+_FACTS = [*_FLAGS, *_KINDS, "unch", "n", "move_src", "copy_src"]
+_OWN = ["in_a", "m_status", "m_source", "twin"]
+
+
+def _decided() -> list[Column]:
+    """status, has_unch, source of a directory from the facts of all its children and its own."""
     c = F.col
     r = lambda status, has, source=None: F.struct(F.lit(status).alias("status"), has.alias("has_unch"), (source if source is not None else F.lit(None).cast("string")).alias("source"))
     no, yes = F.lit(False), F.lit(True)
@@ -108,21 +95,75 @@ def _decide(rows: DataFrame) -> DataFrame:
         .when(c("all_unch"), r("Unchanged", yes))
         .when(c("all_ms"), r("MovedSource", no))
         .when(c("all_rm"), r("Removed", no))
-        .when(~c("dir_a") & c("all_add") & ((~c("move") & ~c("copy")) | (c("n") > 1)), r("Added", no))
+        .when(~c("in_a") & c("all_add") & ((~c("move") & ~c("copy")) | (c("n") > 1)), r("Added", no))
         .when(can & c("mod"), r("Modified", c("unch")))
         .when(plain & (kinds > 1), r("Modified", c("unch")))
         .when(plain & c("move") & (c("n") == 1), r("Mixed", c("unch")))
-        .when(plain & c("move"), r("Move", no, c("move_src")))
+        .when(plain & c("move"), r("Move", no, c("move_src.source")))
         .when(plain & c("add"), r("Added", no))
         .when(plain & c("copy") & (c("n") == 1), r("Mixed", c("unch")))
-        .when(plain & c("copy"), r("Copy", no, c("copy_src")))
-        .when(can & ~c("dir_a"), r("Added", no))
+        .when(plain & c("copy"), r("Copy", no, c("copy_src.source")))
+        .when(can & ~c("in_a"), r("Added", no))
         .when(can, r("Modified", no))
         .otherwise(r("Mixed", c("unch")))
     )
-    g = g.select("key", "twin", out.alias("o"))
-    status = F.when(c("twin").isNull() | (c("twin") == "Unchanged") | (c("twin") == c("o.status")), c("o.status")).otherwise("Mixed")
-    return g.select(c("key").alias("path"), status.alias("status"), (c("o.has_unch") | F.coalesce(c("twin") == "Unchanged", no)).alias("has_unch"), c("o.source").alias("source"))
+    status = F.when(c("twin").isNull() | (c("twin") == "Unchanged") | (c("twin") == out["status"]), out["status"]).otherwise("Mixed")
+    return [status.alias("status"), (out["has_unch"] | F.coalesce(c("twin") == "Unchanged", no)).alias("has_unch"), out["source"].alias("source")]
+
+
+def rolled(files: DataFrame, dirs: DataFrame, matched: DataFrame | None = None, few: int = FEW) -> DataFrame:
+    """path, status, has_unch, source of each directory, from the deepest level up.
+
+    files: path, is_twin, status, source.  dirs: path, in_a.  matched: path, status, source of directories whose content was matched.
+    Files are put together by directory once.  Levels are rolled up by a shuffle each while more than `few` directories are
+    left; the rest, where a level is no work, goes through one task without a shuffle or a write.
+    """
+    f = files.where("not is_twin").select("path", "status", "source", (F.col("status") == "Unchanged").alias("has_unch")).withColumns(_place(F.col("path")))
+    leaf = f.select(F.col("parent").alias("path"), *_facts()).groupBy("path").agg(*_together())
+    twin = files.where("is_twin").select("path", F.col("status").alias("twin"))
+    nodes = dirs.select("path", "in_a").join(leaf, "path", "left").join(twin, "path", "left")
+    if matched is not None:
+        nodes = nodes.join(matched.select("path", F.col("status").alias("m_status"), F.col("source").alias("m_source")), "path", "left")
+    else:
+        nodes = nodes.withColumns({"m_status": F.lit(None).cast("string"), "m_source": F.lit(None).cast("string")})
+    nodes = saved(nodes.withColumns(_place(F.col("path"))).drop("name"), "depth")
+    sizes = dict(nodes.groupBy("depth").count().collect())  # a row for each level
+    parent_facts = lambda level: level.withColumns(_place(F.col("path"))).select(F.col("parent").alias("path"), *_facts())
+    empty = lambda cols: [F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in cols]
+
+    def own(k: int) -> DataFrame:
+        return nodes.where(F.col("depth") == k).select("path", *_FACTS, *_OWN)
+
+    def level_of(rows: DataFrame, more=()) -> DataFrame:
+        only = [F.max(c).alias(c) for c in _OWN]
+        return rows.groupBy("path").agg(*_together(), *only, *more)
+
+    k, level, done = max(sizes, default=-1), None, []
+    while k >= 0 and sum(n for at, n in sizes.items() if at <= k) > few:
+        rows = own(k)
+        if level is not None:
+            rows = rows.unionByName(parent_facts(level).select("*", *empty(_OWN)))
+        level = saved(level_of(rows).select("path", *_decided()))
+        done.append(level)
+        k -= 1
+    if k >= 0:
+        # one task: each level hands up what is decided below it
+        kind = "array<struct<path:string,status:string,has_unch:boolean,source:string>>"
+        nothing = F.array().cast(kind).alias("below")
+        last = None if level is None else parent_facts(level).groupBy("path").agg(*_together()).select("*", *empty(_OWN), nothing)
+        for at in range(k, -1, -1):
+            rows = own(at).select("*", nothing)
+            rows = rows if last is None else rows.unionByName(last)
+            found = level_of(rows.coalesce(1), [F.flatten(F.collect_list("below")).alias("below")]).select("path", *_decided(), "below")
+            up = F.concat(F.col("below"), F.array(F.struct("path", "status", "has_unch", "source")))
+            last = found.withColumn("below", up).withColumns(_place(F.col("path"))).select(F.col("parent").alias("path"), *_facts(), *empty(_OWN), "below")
+        done.append(saved(last.select(F.explode("below").alias("r")).select("r.*")))
+    if not done:
+        return nodes.select("path", F.lit("").alias("status"), F.lit(False).alias("has_unch"), F.col("m_source").alias("source"))
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def match(files: DataFrame, dirs: DataFrame, moves: bool = True, copies: bool = True) -> DataFrame:
@@ -167,12 +208,15 @@ def match(files: DataFrame, dirs: DataFrame, moves: bool = True, copies: bool =
 
 
 def _counts(files: DataFrame, dirs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Counts of file statuses, and of unchanged directories, below each wanted path."""
-    up = files.select("status", F.explode(paths.ancestors(F.split("path", "/"), True)).alias("path"), F.col("path").alias("own"), "is_twin").where("path <> own or is_twin").select("path", "status")
-    ud = dirs.where("status = 'Unchanged'").select(F.when(F.col("path") == "", F.array(F.lit(""))).otherwise(paths.ancestors(F.split("path", "/"), True)).alias("u")).select(F.explode("u").alias("path"), F.lit("dir").alias("status"))
-    rows = up.unionByName(ud).join(wanted.select("path").distinct(), "path", "left_semi")
-    n = lambda s, name: F.count_if(F.col("status") == s).alias(name)
-    return rows.groupBy("path").agg(n("Added", "added_count"), n("Removed", "removed_count"), n("Modified", "modified_count"), n("Copy", "copy_count"), n("Move", "move_count"), n("Unchanged", "unchanged_file_count"), n("dir", "unchanged_dir_count"))
+    """Counts of file statuses, and of unchanged directories, below each wanted path: by directory first, then up its ancestors."""
+    names = {"Added": "added_count", "Removed": "removed_count", "Modified": "modified_count", "Copy": "copy_count", "Move": "move_count", "Unchanged": "unchanged_file_count", "dir": "unchanged_dir_count"}
+    # a twin counts for the directory of its own path
+    at = F.when(F.col("is_twin"), F.col("path")).otherwise(_place(F.col("path"))["parent"])
+    rows = files.select(at.alias("path"), "status").unionByName(dirs.where("status = 'Unchanged'").select("path", F.lit("dir").alias("status")))
+    own = rows.groupBy("path").agg(*[F.count_if(F.col("status") == s).alias(n) for s, n in names.items()])
+    up = F.when(F.col("path") == "", F.array(F.lit(""))).otherwise(paths.ancestors(F.split("path", "/"), True))
+    above = own.select(F.explode(up).alias("path"), *names.values()).groupBy("path").agg(*[F.sum(n).alias(n) for n in names.values()])
+    return above.join(wanted.select("path").distinct(), "path", "left_semi")
 
 
 COUNTS = ("added_count", "removed_count", "modified_count", "copy_count", "move_count", "unchanged_file_count", "unchanged_dir_count", "hidden_count")
@@ -190,8 +234,9 @@ def lines(files: DataFrame, dirs: DataFrame, show_unchanged: bool = False, budge
     nodes = nodes.withColumn("p", F.split("path", "/"))
     blocked = dirs.where("path <> '' and status <> 'Mixed'").select(F.col("path").alias("up"))
     told = nodes.where(F.col("status").isin(*CHANGES) | (F.col("is_dir") & (F.col("status") == "Mixed")))
-    hidden = told.select("path", "is_twin", "is_dir", F.explode(paths.ancestors(F.col("p"))).alias("up")).join(blocked, "up", "left_semi").select("path", "is_twin", "is_dir").distinct()
-    told = saved(told.join(hidden, ["path", "is_twin", "is_dir"], "left_anti"))
+    # what lies in a hidden directory is found by its parent alone
+    shut = dirs.where("path <> ''").select(F.col("path").alias("parent"), F.explode(paths.ancestors(F.split("path", "/"), True)).alias("up")).join(blocked, "up", "left_semi").select("parent").distinct()
+    told = saved(told.withColumn("parent", _place(F.col("path"))["parent"]).join(shut, "parent", "left_anti").drop("parent"))
     base = told.where("status <> 'Mixed'")
     wanted = told.where("is_dir").select("path").unionByName(told.sparkSession.createDataFrame([("",)], "path string"))
     counted = saved(_counts(files, dirs, wanted))
@@ -220,8 +265,11 @@ def _budgeted(out: DataFrame, budget: int) -> DataFrame:
     out = saved(out)
     depth = out.agg(F.max(F.size("owner"))).first()[0] or 0
     for k in range(depth, 0, -1):
-        inside = out.where(F.size("owner") >= k).withColumn("dir", F.slice("owner", 1, k))
-        rows = inside.withColumn("n", F.row_number().over(Window.partitionBy("dir").orderBy("key")))
+        inside = out.where(F.size("owner") >= k).withColumns({"dir": F.slice("owner", 1, k), "part": F.spark_partition_id()})
+        # what is not among the first of its part is not among the first of all, so no task gets a whole directory
+        parted = inside.withColumn("n", F.row_number().over(Window.partitionBy("part", "dir").orderBy("key"))).drop("part")
+        first = parted.where(F.col("n") <= budget).withColumn("n", F.row_number().over(Window.partitionBy("dir").orderBy("key")))
+        rows = parted.where(F.col("n") > budget).unionByName(first)
         over = rows.where(F.col("n") > budget).groupBy("dir").agg(*[F.sum(c).alias(c) for c in COUNTS[:7]], (F.sum("hidden_count") + F.count("*")).alias("hidden_count"))
         cut = over.select(
             F.concat(F.array_join("dir", "/"), F.lit("/")).alias("path"), F.lit("Truncated").alias("status"), F.lit(None).cast("string").alias("source"), *COUNTS,

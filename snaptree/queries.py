@@ -333,12 +333,100 @@ def diff_update_mode(spark, sf_dir):
     return diff.update_mode(_diff(spark, sf_dir))
 
 
-@query()
+def _levels(depth: int = 3) -> str:
+    """The roll-up without moves and copies of directories down to the given depth, level by level, in SQL."""
+    out = [
+        _PAIR, f"fs AS (SELECT path, string_split(path, '/') AS p, status, path IN (SELECT up FROM pu) AS is_twin FROM pair)",
+        "ds AS (SELECT up AS path, bool_or(in_a) AS in_a, CASE WHEN up = '' THEN 0 ELSE len(string_split(up, '/')) END AS depth FROM pu GROUP BY up)",
+        "fp AS (SELECT *, array_to_string(p[1:len(p) - 1], '/') AS parent, len(p) AS depth FROM fs)",
+    ]
+    for k in range(depth, -1, -1):
+        below = f" UNION ALL SELECT array_to_string(string_split(path, '/')[1:{k}], '/'), status, has_unch FROM n{k + 1}" if k < depth else ""
+        out.append(f"""c{k} AS (SELECT parent AS path, status, status = 'Unchanged' AS has_unch FROM fp WHERE depth = {k + 1} AND NOT is_twin{below}),
+g{k} AS (SELECT path, bool_and(status = 'Unchanged') AS all_u, bool_and(status = 'Removed') AS all_r, bool_and(status = 'Added') AS all_a, bool_or(status = 'Modified') AS some_m, bool_or(status = 'Added') AS some_a,
+ bool_or(has_unch) AS unch, count(*) FILTER (status IN ('Added', 'Removed', 'Modified')) AS n FROM c{k} GROUP BY path),
+o{k} AS (SELECT d.path, t.status AS twin, coalesce(unch, false) AS unch, CASE WHEN coalesce(all_u, true) THEN 'Unchanged' WHEN all_r THEN 'Removed' WHEN NOT in_a AND all_a THEN 'Added' WHEN unch OR NOT (all_a OR n >= 2) THEN 'Mixed'
+ WHEN some_m THEN 'Modified' WHEN all_a AND some_a THEN 'Added' WHEN NOT in_a THEN 'Added' ELSE 'Modified' END AS status FROM ds d LEFT JOIN g{k} USING (path) LEFT JOIN fs t ON t.is_twin AND t.path = d.path WHERE d.depth = {k}),
+n{k} AS (SELECT path, CASE WHEN twin IS NULL OR twin = 'Unchanged' OR twin = status THEN status ELSE 'Mixed' END AS status, coalesce(twin = 'Unchanged', false) OR CASE status WHEN 'Unchanged' THEN true WHEN 'Mixed' THEN unch ELSE false END AS has_unch FROM o{k})""")
+    every = " UNION ALL ".join(f"SELECT path, status FROM n{k}" for k in range(depth + 1))
+    return ",\n".join([*out, f"dirs AS ({every})"])
+
+
+@query(f"{_levels()} SELECT path, status FROM dirs")
 def diff_rollup(spark, sf_dir):
     """Status of each directory without moves and copies."""
     return diff.solve(*_sides(spark, sf_dir), moves=False, copies=False)[1].select("path", "status")
 
 
+_COUNT = {"Added": "added_count", "Removed": "removed_count", "Modified": "modified_count", "Copy": "copy_count", "Move": "move_count"}
+
+
+def _plain_lines(shown: bool = False, budget: int = 0, only: str = "true", depth: int = 3) -> str:
+    """The lines of a diff without moves and copies in SQL: what no summary above hides, its counts, the budget, the order."""
+    zero = "CAST(0 AS BIGINT)"
+    step = lambda x: f"list_transform({x}, lambda y: {{'k': 0, 'n': y, 't': 0}})"
+    sums = ", ".join(f"count(*) FILTER (status = '{s}') AS {c}" for s, c in _COUNT.items())
+    own = ", ".join(f"CASE WHEN is_dir THEN coalesce(k.{c}, 0) WHEN t.status = '{s}' THEN 1 ELSE 0 END AS {c}" for s, c in _COUNT.items())
+    extra = [f"CASE WHEN is_dir THEN coalesce({x}, 0) ELSE 0 END" if shown else "0" for x in ("k.n_files", "kd.n_dirs")]
+    steps = [
+        _levels(depth), f"nodes AS (SELECT path, p, false AS is_dir, is_twin, status FROM fs UNION ALL SELECT path, string_split(path, '/'), true, false, status FROM dirs WHERE path <> '')",
+        f"hid AS (SELECT DISTINCT path, is_dir, is_twin FROM (SELECT path, is_dir, is_twin, {_UP} AS up FROM nodes) WHERE up IN (SELECT path FROM dirs WHERE path <> '' AND status <> 'Mixed'))",
+        "told AS (SELECT * FROM nodes ANTI JOIN hid USING (path, is_dir, is_twin) WHERE status IN ('Added', 'Removed', 'Modified') OR is_dir AND status = 'Mixed')",
+        f"fu AS (SELECT status, unnest(list_transform(range(0, len(p) + CAST(is_twin AS INT)), lambda i: array_to_string(p[1:i], '/'))) AS path FROM fs)",
+        f"k AS (SELECT path, {sums}, count(*) FILTER (status = 'Unchanged') AS n_files FROM fu GROUP BY path)",
+        "du AS (SELECT unnest(CASE WHEN path = '' THEN [''] ELSE list_transform(range(0, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[1:i], '/')) END) AS path FROM dirs WHERE status = 'Unchanged')",
+        "kd AS (SELECT path, count(*) AS n_dirs FROM du GROUP BY path)",
+        f"""b0 AS (SELECT t.path || CASE WHEN is_dir THEN '/' ELSE '' END AS path, t.status, {own}, {extra[0]} AS unchanged_file_count, {extra[1]} AS unchanged_dir_count, {zero} AS hidden_count,
+ list_transform(p, lambda y, i: {{'k': 0, 'n': y, 't': CASE WHEN i < len(p) OR NOT is_twin THEN 0 WHEN t.status = 'Removed' THEN -1 ELSE 1 END}}) AS key, p[1:len(p) - 1] AS owner
+ FROM told t LEFT JOIN k ON k.path = t.path LEFT JOIN kd ON kd.path = t.path WHERE t.status <> 'Mixed'""",
+    ]
+    if shown:
+        none = ", ".join(f"{zero} AS {c}" for c in _COUNT.values())
+        steps[-1] += f""" UNION ALL SELECT CASE WHEN m.path = '' THEN '.' ELSE m.path || '/' END, 'Mixed', {none}, coalesce(n_files, 0), coalesce(n_dirs, 0), {zero}, list_concat({step('p')}, [{{'k': 2, 'n': '', 't': 0}}]), CASE WHEN len(p) > 0 THEN p[1:len(p) - 1] ELSE p END
+ FROM (SELECT path, p FROM told WHERE status = 'Mixed' UNION ALL SELECT '', CAST([] AS VARCHAR[])) m LEFT JOIN k ON k.path = m.path LEFT JOIN kd ON kd.path = m.path WHERE coalesce(n_files, 0) + coalesce(n_dirs, 0) > 0"""
+    steps[-1] += ")"
+    last = "b0"
+    counts = [*_COUNT.values(), "unchanged_file_count", "unchanged_dir_count"]
+    for at in range(depth, 0, -1) if budget else ():
+        kept = ", ".join(["path", "status", *counts, "hidden_count", "key", "owner"])
+        sums = ", ".join(f"sum({c})" for c in counts)
+        steps += [
+            f"r{at} AS (SELECT *, owner[1:{at}] AS dir, row_number() OVER (PARTITION BY owner[1:{at}] ORDER BY key) AS n FROM {last} WHERE len(owner) >= {at})",
+            f"""b{at} AS (SELECT {kept} FROM {last} WHERE len(owner) < {at} UNION ALL SELECT {kept} FROM r{at} WHERE n <= {budget} UNION ALL
+ SELECT array_to_string(dir, '/') || '/', 'Truncated', {sums}, sum(hidden_count) + count(*), list_concat({step('dir')}, [{{'k': 1, 'n': '', 't': 0}}]), dir[1:{at - 1}] FROM r{at} WHERE n > {budget} GROUP BY dir)""",
+        ]
+        last = f"b{at}"
+    whole = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in [*counts, "hidden_count"])
+    text = "CAST(NULL AS VARCHAR)"
+    return f"""{", ".join(steps)}, z AS (SELECT *, CASE WHEN status IN ('Removed', 'Modified') THEN '/mnt/a' ELSE '/mnt/b' END AS root, row_number() OVER (ORDER BY key) AS line_no FROM {last})
+SELECT CASE WHEN path = '.' THEN root ELSE root || '/' || path END AS path, root, path AS rel_path, status, {text} AS source_path, {text} AS source_root, {text} AS source_rel_path, {whole}, line_no FROM z WHERE {only}"""
+
+
+def _plain(spark, sf_dir, **kw):
+    return _diff(spark, sf_dir, moves=False, copies=False, **kw)
+
+
+@query(_plain_lines())
+def diff_plain_lines(spark, sf_dir):
+    """The diff without moves and copies: as removed and added."""
+    return _plain(spark, sf_dir)
+
+
+@query(_plain_lines(budget=3))
+def diff_plain_budget(spark, sf_dir):
+    return _plain(spark, sf_dir, budget=3)
+
+
+@query(_plain_lines(shown=True))
+def diff_plain_unchanged(spark, sf_dir):
+    return _plain(spark, sf_dir, show_unchanged=True)
+
+
+@query(_plain_lines(shown=True, budget=2, only="status IN ('Removed', 'Modified', 'Truncated', 'Mixed')"))
+def diff_plain_update(spark, sf_dir):
+    return diff.update_mode(_plain(spark, sf_dir, show_unchanged=True, budget=2))
+
+
 @query(f"""{_with('orders_a', 'orders_b', 'pages_f')}, a AS (SELECT substr(path, 14) AS path, sha1 FROM orders_a UNION ALL SELECT replace(substr(path, 6), '//', '/'), sha1 FROM pages_f), b AS (SELECT substr(path, 12) AS path, sha1 FROM orders_b)
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'Removed' WHEN a.path IS NULL THEN 'Added' WHEN a.sha1 = b.sha1 THEN 'Unchanged' ELSE 'Modified' END AS status FROM a FULL JOIN b ON a.path = b.path""")
 def diff_multi_source(spark, sf_dir):
@@ -381,4 +469,4 @@ def zfs_plan(spark, sf_dir):
 
 
 #: Queries that bench.py runs.
-HEADLINE = ("coverage_orders", "coverage_status", "coverage_rollup_lines", "dupes_highest", "merge_last_wins", "diff_pair_status", "upsert_latest", "diff_lines")
+HEADLINE = ("coverage_orders", "coverage_status", "coverage_rollup_lines", "dupes_highest", "merge_last_wins", "diff_pair_status", "upsert_latest", "diff_lines", "diff_orders")

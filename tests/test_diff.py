@@ -3,8 +3,10 @@ import random
 
 import pytest
 import tree_oracle
+from pyspark.sql import functions as F
 
-from snaptree.operators import basic, diff
+from snaptree import plans
+from snaptree.operators import basic, coverage, diff
 
 SCHEMA = "path string, size_bytes bigint, sha1 string, md5 string"
 
@@ -33,6 +35,12 @@ GOLDEN = {
     "file becomes directory": ({"data": "h1", "c": "h0"}, {"data/one": "h2", "data/two": "h3", "c": "h0"}, [("Removed", "data", None), ("Added", "data/one", None), ("Added", "data/two", None)]),
     "source used once": ({"f1": "h", "c": "h0"}, {"f1": "h", "f2": "h", "f3": "h", "c": "h0"}, [("Copy", "f2", "/f1"), ("Added", "f3", None)]),
     "equal": ({"a/b": "h1", "c": "h2"}, {"a/b": "h1", "c": "h2"}, []),
+    "removed directory": ({"d/x/1": "h1", "d/2": "h2", "c": "h0"}, {"c": "h0"}, [("Removed", "d/", None)]),
+    "one of two changed": ({"d/1": "h1", "d/2": "h2", "c": "h0"}, {"d/1": "h9", "d/2": "h2", "c": "h0"}, [("Modified", "d/1", None)]),
+    "all changed": ({"d/1": "h1", "d/2": "h2", "c": "h0"}, {"d/1": "h8", "d/2": "h9", "c": "h0"}, [("Modified", "d/", None)]),
+    "only one, changed": ({"d/1": "h1", "c": "h0"}, {"d/1": "h8", "c": "h0"}, [("Modified", "d/1", None)]),
+    "file moved into a new directory": ({"f": "h1", "c": "h0"}, {"new/f": "h1", "c": "h0"}, [("Move", "new/f", "/f")]),
+    "directory copied": ({"d/1": "h1", "d/2": "h2", "c": "h0"}, {"d/1": "h1", "d/2": "h2", "e/1": "h1", "e/2": "h2", "c": "h0"}, [("Copy", "e/", "/d/")]),
 }
 
 
@@ -43,9 +51,14 @@ def test_golden_tree(name):
     assert [(r[1], r[0], r[2]) for r in tree_oracle.diff(full(a), full(b))] == want
 
 
-@pytest.mark.parametrize("name", ["move beats copy", "file becomes directory"])
-def test_golden(spark, name):
-    a, b, want = GOLDEN[name]
+def test_golden(spark):
+    """All cases at once, each below a directory of its own that an unchanged file keeps apart; contents are told apart by case."""
+    a, b, want = {}, {}, []
+    for n, (old, new, lines) in sorted(GOLDEN.items()):
+        own = lambda m, n=n: {f"{n}/{p}": h and f"{n}:{h}" for p, h in m.items()}
+        a |= own(old) | {f"{n}/~": f"{n}:~"}
+        b |= own(new) | {f"{n}/~": f"{n}:~"}
+        want += [(s, f"{n}/{p}", src and f"/{n}{src}") for s, p, src in lines]
     assert brief(spark, a, b) == want
 
 
@@ -153,3 +166,28 @@ def test_empty_sides(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert diff.solve(none, none)[2].collect() == []
     assert [r.status for r in diff.solve(frame(spark, {"d/a": "h"}), none)[2].collect()] == ["Removed"]
+
+
+def test_levels_by_shuffles_and_in_one_task_agree(spark):
+    """The roll-up gives the same whether a few or no directories are left to one task."""
+    a, b = forest(11)
+    files = diff.saved(diff.with_twins(diff.pair(frame(spark, a), frame(spark, b))).withColumn("source", F.when(F.col("path").like("%a"), F.lit("/s"))))
+    files = files.withColumn("status", F.when((F.col("status") == "Added") & F.col("path").rlike("[ab]$"), F.when(F.col("path").like("%a"), "Move").otherwise("Copy")).when((F.col("status") == "Removed") & F.col("path").like("%c"), "MovedSource").otherwise(F.col("status")))
+    dirs = diff.saved(diff.directories(files))
+    some = dirs.where("path like '%/b'").select("path", F.lit("Move").alias("status"), F.lit("/x/").alias("source"))
+    got = [sorted(map(tuple, diff.rolled(files, dirs, some, few).collect()), key=str) for few in (0, 70, 100_000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == dirs.count() and {r[1] for r in got[0]} >= {"Mixed", "Move", "Added", "Removed", "Modified", "Unchanged"}
+
+
+def test_plans(spark):
+    """Sides are paired by one equi-join, only the columns asked for are read, and no row is paired with all others."""
+    rows = [(f"d{i % 9}/f{i}", i, f"h{i}", None, "x" * 50) for i in range(200)]
+    wide = diff.saved(spark.createDataFrame(rows, SCHEMA + ", note string"))
+    pairs = diff.pair(wide, wide)
+    assert plans.joins(pairs) == ["SortMergeJoin"] or len(plans.joins(pairs)) == 1
+    assert not plans.pairs_all(pairs) and not plans.runs_python(pairs)
+    assert all("note" not in c and "md5" not in c for c in plans.read_columns(pairs))
+    found = basic.find(wide.where("size_bytes >= 100"), "f1*").select("path")
+    assert plans.exchanges(found) == 0 and any("size_bytes" in p for p in plans.pushed(found))
+    tags = coverage.tagged(wide, [wide])
+    assert not plans.pairs_all(tags) and not plans.runs_python(tags)
