@@ -84,7 +84,9 @@ def convert(spark: SparkSession, path: str, store, rebase: bool = True) -> list[
         whole = False
         for old in store.catalog().where((F.col("computer_name") == mark) & (F.col("status") == "in_progress")).collect():
             store.delete(old.asDict())
-        for old in store.catalog().where((F.col("name") == s["name"]) & (F.col("root_path") == root) & (F.col("status") == s["status"])).collect():
+        named = (F.col("name") == s["name"]) | F.col("name").startswith(s["name"] + "_")
+        alike = (F.col("root_path") == root) & (F.col("status") == s["status"]) & F.col("started_at").eqNullSafe(F.lit(facts["started_at"]).cast("timestamp"))
+        for old in store.catalog().where(named & alike).collect():
             whole = whole or store.files(old.asDict()).count() == rows.select("path").distinct().count()
         if whole:
             continue

@@ -71,11 +71,11 @@ class Store:
         return found.asDict() if found else None
 
     def free_name(self, name: str, exact: bool = False, now: dt.datetime | None = None) -> str:
-        """name, or if it is taken name_HHMMSS, then name_HHMMSS_1 and so on; with exact a taken name is an error."""
+        """name, or if it is taken name_HHMMSS, then name_HHMMSS_1 and so on; with exact a taken name is an error.  Names of deleted ones are free."""
         now = now or dt.datetime.now(dt.timezone.utc)
         stamped = f"{name}_{now:%H%M%S}"
         wanted = [name, stamped, *(f"{stamped}_{i}" for i in range(1, 100))]
-        taken = {r[0] for r in self.catalog().where(F.col("name").isin(wanted)).select("name").distinct().collect()}
+        taken = {r[0] for r in self.catalog().where(F.col("name").isin(wanted) & (F.col("status") != "deleted")).select("name").distinct().collect()}
         if exact and name in taken:
             raise ValueError(f"the name {name} is taken")
         free = next((x for x in wanted if x not in taken), None)
