@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, saved, words
+from .common import cleaned, col, saved, words
 
 #: Permitted sequence lengths, in tokens.
 SIZES = (512, 1024, 2048, 4096, 8192)
@@ -122,6 +122,7 @@ def _dealt(rows: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
     return rows.select("key", "n", (part * first + F.col("shard")).cast("int").alias("shard")), first * most
 
 
+@cleaned
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: Column | None = None, sizes=SIZES, shard_rows: int = SHARD_ROWS, price=cost) -> DataFrame:
     """doc_id, piece, start, n_tokens, bin_id, bin_offset, bin_size, bin_fill: a row for each piece of each row of df.
 
@@ -133,7 +134,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", length: Column
     sizes = tuple(sorted(sizes))
     n = length if length is not None else F.size(words(col(text))) + 1
     rows = df.select(col(key).cast("bigint").alias("key"), F.greatest(F.coalesce(n.cast("bigint"), F.lit(0)), F.lit(0)).alias("n"))
-    rows, shards = _dealt(rows, shard_rows)
+    rows, shards = _dealt(saved(rows), shard_rows)  # two numbers for each row: texts are read once
 
     def run(batches):
         own = pd.concat([*batches, pd.DataFrame({"key": pd.Series(dtype="Int64"), "n": pd.Series(dtype="int64"), "shard": pd.Series(dtype="int32")})])
