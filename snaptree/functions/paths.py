@@ -32,6 +32,11 @@ def ancestors(p: Column, itself: bool = False) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(p, 1, i), "/"))).otherwise(F.array().cast("array<string>"))
 
 
+def parent(path: Column) -> Column:
+    """The directory above a relative path; `` for those at the top and for the root itself."""
+    return F.regexp_extract(path, r"(?s)\A(.*)/[^/]*\z", 1)
+
+
 def clean(path: str) -> str:
     """A path without double slashes, `.` and `..`; empty stays empty."""
     if not path.strip():

@@ -47,12 +47,19 @@ def by_dir(tags: DataFrame) -> DataFrame:
     return uncovered(tags).groupBy(paths.dirname(F.col("path")).alias("dir")).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("bigint").alias("n_bytes"))
 
 
-def rollup(tags: DataFrame) -> DataFrame:
-    """dir, depth, n_covered, n_uncovered, n_no_hash and verdict of each directory, with all below it (``: the root)."""
+def _summed(tags: DataFrame) -> DataFrame:
+    """dir, n_covered, n_uncovered, n_no_hash, n_bytes of all files below each directory: by directory first, then up its ancestors."""
     p = paths.parts(F.col("path"))
-    up = tags.select(F.explode(paths.ancestors(p)).alias("dir"), "status")
+    own = tags.select(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))).alias("p"), "status", "size_bytes")
     n = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
-    out = up.groupBy("dir").agg(n("covered"), n("uncovered"), n("no_hash"))
+    own = own.groupBy("p").agg(n("covered"), n("uncovered"), n("no_hash"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    cols = ("n_covered", "n_uncovered", "n_no_hash", "n_bytes")
+    return own.select(F.explode(paths.ancestors(F.col("p"), True)).alias("dir"), *cols).groupBy("dir").agg(*[F.sum(c).cast("bigint").alias(c) for c in cols])
+
+
+def rollup(tags: DataFrame) -> DataFrame:
+    """dir, depth, n_covered, n_uncovered, n_no_hash and verdict of each directory, with all below it (``: the root)."""
+    out = _summed(tags).drop("n_bytes")
     bad = F.col("n_uncovered") + F.col("n_no_hash")
     verdict = F.when(bad == 0, "covered").when(F.col("n_covered") == 0, "not_covered").otherwise("mixed")
     return out.select("dir", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/"))).cast("bigint").alias("depth"), "n_covered", "n_uncovered", "n_no_hash", verdict.alias("verdict"))
@@ -74,12 +81,13 @@ def rollup_lines(tags: DataFrame, detail: int = 3) -> DataFrame:
     shown = dirs.join(hidden, "dir", "left_anti")
     kind = F.when(F.col("verdict") != "mixed", F.col("verdict")).when(F.col("n_bad") <= detail, "listed").otherwise("summary")
     lines = shown.select(F.col("dir").alias("path"), kind.alias("kind"), "n_bad")
-    p = paths.parts(F.col("path"))
-    files = uncovered(tags).select(p.alias("p"), "status").select(paths.joined(F.col("p")).alias("path"), "status", F.explode(paths.ancestors(F.col("p"))).alias("up"))
+    files = uncovered(tags).select(paths.joined(paths.parts(F.col("path"))).alias("path"), "status").withColumn("up", paths.parent(F.col("path")))
+    # the directories at and below the listed ones
     listed = lines.where("kind = 'listed'").select(F.col("path").alias("up"))
-    inside = files.join(listed, "up").select("path", F.col("status").alias("kind"), F.lit(1).cast("bigint").alias("n_bad"))
+    below = dirs.select("dir", F.explode(F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(paths.ancestors(F.split("dir", "/"), True))).alias("up")).join(listed, "up", "left_semi").select(F.col("dir").alias("up"))
+    inside = files.join(below, "up").select("path", F.col("status").alias("kind"), F.lit(1).cast("bigint").alias("n_bad"))
     # files right in a summarised directory
-    own = files.where(F.col("up") == F.array_join(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), "/")).join(opened, "up", "left_semi").join(hidden.select(F.col("dir").alias("up")), "up", "left_anti")
+    own = files.join(opened, "up", "left_semi").join(hidden.select(F.col("dir").alias("up")), "up", "left_anti")
     return lines.unionByName(inside).unionByName(own.select("path", F.col("status").alias("kind"), F.lit(1).cast("bigint").alias("n_bad")))
 
 
@@ -92,12 +100,9 @@ def report(tags: DataFrame, detail: int = 3) -> DataFrame:
     """
     tags = saved(tags)
     lines = saved(rollup_lines(tags, detail))
-    p = paths.parts(F.col("path"))
-    up = tags.select(F.explode(paths.ancestors(p)).alias("path"), "status", "size_bytes")
     own = lines.where("kind in ('covered', 'not_covered', 'listed', 'summary')").select("path", "kind")
-    n = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
-    dirs = up.join(own, "path").groupBy("path", "kind").agg(n("covered"), n("uncovered"), n("no_hash"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("bigint").alias("n_bytes"))
-    dirs = saved(dirs.withColumn("parent", F.when(F.col("path") == "", F.lit(None)).otherwise(F.regexp_extract("path", r"(?s)\A(.*)/[^/]*\z", 1))))
+    dirs = _summed(tags).withColumnRenamed("dir", "path").join(own, "path")
+    dirs = saved(dirs.withColumn("parent", F.when(F.col("path") != "", paths.parent(F.col("path")))))
     opened = dirs.where("kind = 'summary'").select(F.col("path").alias("parent"))
     fold = dirs.where("kind = 'covered'").join(opened, "parent", "left_semi")
     zero = F.lit(0).cast("bigint")
@@ -106,7 +111,7 @@ def report(tags: DataFrame, detail: int = 3) -> DataFrame:
     folded = fold.groupBy(F.col("parent").alias("path")).agg(F.sum("n_covered").alias("n_covered"), F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_dirs"))
     folded = folded.withColumns({"kind": F.lit("folded"), "n_uncovered": zero, "n_no_hash": zero}).select(*cols)
     one = lines.where("kind in ('uncovered', 'no_hash')").select("path", "kind").distinct()
-    files = tags.select(paths.joined(p).alias("path"), "size_bytes").join(one, "path")
+    files = tags.select(paths.joined(paths.parts(F.col("path"))).alias("path"), "size_bytes").join(one, "path")
     files = files.select("path", "kind", zero.alias("n_covered"), (F.col("kind") == "uncovered").cast("bigint").alias("n_uncovered"), (F.col("kind") == "no_hash").cast("bigint").alias("n_no_hash"), F.col("size_bytes").alias("n_bytes"), zero.alias("n_dirs"))
     out = shown.unionByName(folded).unionByName(files)
     return out.withColumn("depth", F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/"))).cast("bigint"))

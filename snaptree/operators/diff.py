@@ -32,7 +32,8 @@ def pair(a: DataFrame, b: DataFrame, hash_type: str = "sha1") -> DataFrame:
 
 def with_twins(pairs: DataFrame) -> DataFrame:
     """pairs with is_twin: the path is a directory on the other side."""
-    dirs = pairs.select(F.explode(paths.ancestors(F.col("p"))).alias("path")).distinct().withColumn("is_twin", F.lit(True))
+    parents = pairs.select(F.slice("p", 1, F.size("p") - 1).alias("p")).distinct()
+    dirs = parents.select(F.explode(paths.ancestors(F.col("p"), True)).alias("path")).distinct().withColumn("is_twin", F.lit(True))
     return pairs.join(dirs, "path", "left").withColumn("is_twin", F.coalesce("is_twin", F.lit(False)))
 
 

@@ -33,9 +33,11 @@ def duplicates(files: DataFrame, min_size: int = 0) -> DataFrame:
     group = group.where((F.col("n_members") >= 2) & (F.col("largest") >= min_size)).drop("largest")
     member = saved(all_.join(group, "key"))
     above = member.where("is_dir").select(F.col("path").alias("up")).distinct()
-    inner = member.where("path <> ''").select("key", "path", "is_dir", F.explode(paths.ancestors(F.split("path", "/"))).alias("up"))
-    covered = inner.join(above, "up", "left_semi").select("key", "path", "is_dir").distinct()
-    top = member.join(covered, ["key", "path", "is_dir"], "left_anti").select("key").distinct()
+    # whether a member is in such a directory is known from its parent; the root is never equal to another directory
+    member = member.withColumn("parent", paths.parent(F.col("path")))
+    up = member.where("parent <> ''").select("parent").distinct().select("parent", F.explode(paths.ancestors(F.split("parent", "/"), True)).alias("up"))
+    covered = up.join(above, "up", "left_semi").select("parent").distinct()
+    top = member.join(covered, "parent", "left_anti").select("key").distinct()
     return member.join(top, "key", "left_semi").select("group_path", "path", "is_dir", "size_bytes", "n_files", "n_members")
 
 
