@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import CATALOG, snapshot, sql
-from .functions import paths
+from .functions import paths, values
 from .operators import basic, coverage, diff, dupes
 from .sources import legacy, zfs
-from .tables import cleaned, saved
+from .sources.store import Store
+from .streaming import follow
+from .tables import cleaned, saved, shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -468,5 +470,102 @@ def zfs_plan(spark, sf_dir):
     return zfs.plan(zfs.parse(text), seen, ["tank/skip"]).select("name", "plan")
 
 
+# the store: snapshots are written to a new store in the shared folder and read back
+
+
+def _store(spark) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/store")
+
+
+def _kept(store: Store, name: str, files: DataFrame, root: str, errors: int = 0) -> dict:
+    s = store.create(name, root)
+    store.write(s, files)
+    return store.finish(s, errors)
+
+
+_ROW = "path, regexp_extract(path, '([^/]*)$', 1) AS filename, size_bytes, sha1, md5"
+
+
+@query(f"{_with('docs_a')} SELECT {_ROW} FROM docs_a WHERE size_bytes <= 2000 OR NOT starts_with(path, '/mnt/a/src1/') UNION ALL SELECT path, regexp_extract(path, '([^/]*)$', 1), size_bytes + 1, NULL, md5 FROM docs_a WHERE size_bytes > 2000 AND starts_with(path, '/mnt/a/src1/')")
+def store_insert(spark, sf_dir):
+    """A snapshot that is written twice, the second time with changed records of some paths."""
+    store, files = _store(spark), snapshot(spark, sf_dir, "docs_a")
+    s = store.create("a", "/mnt/a")
+    store.write(s, files)
+    again = files.where("size_bytes > 2000 and startswith(path, '/mnt/a/src1/')").withColumns({"size_bytes": F.col("size_bytes") + 1, "sha1": F.lit(None).cast("string")})
+    store.write(s, again)
+    return store.files(store.finish(s)).select("path", "filename", "size_bytes", "sha1", "md5")
+
+
+@query(f"""{_with('docs_a', 'pages_f')} SELECT * FROM (VALUES ('by id', 'a_superseded_1', 'completed', 0), ('by name', 'pages', 'failed', 2), ('last of root', 'a', 'completed', 0), ('listed', 'a', 'completed', 0), ('listed', 'a_superseded_1', 'completed', 0), ('listed', 'pages', 'failed', 2)) AS t(how, name, status, error_count)
+WHERE (SELECT count(*) FROM docs_a) > 0 AND (SELECT count(*) FROM pages_f) > 0""")
+def store_lookup(spark, sf_dir):
+    """Snapshots that are found by number, name and root after one was renamed and one deleted."""
+    store, files = _store(spark), snapshot(spark, sf_dir, "docs_a")
+    store.supersede(_kept(store, "a", files, "/mnt/a"))
+    _kept(store, "pages", snapshot(spark, sf_dir, "pages_f"), "/web", errors=2)
+    _kept(store, "a", files.where("size_bytes > 0"), "/mnt/a")
+    store.delete(_kept(store, "gone", files.limit(1), "/mnt/a"))
+    found = [("by id", store.resolve("1")), ("by name", store.resolve("pages")), ("last of root", store.last_of_root("/mnt/a"))]
+    found += [("listed", r.asDict()) for r in store.listing().where("status <> 'deleted'").collect()]
+    return spark.createDataFrame([(how, r["name"], r["status"], r["error_count"]) for how, r in found], "how string, name string, status string, error_count int")
+
+
+@query(f"{_with('docs_a', 'docs_b')}, x AS (SELECT '/mnt/a/' || substr(path, 8) AS path, size_bytes, sha1, 0 AS k FROM docs_a UNION ALL SELECT '/mnt/a/' || substr(path, 8), size_bytes, sha1, 1 FROM docs_b WHERE NOT contains(path, '/both_')) SELECT path, arg_max(size_bytes, k) AS size_bytes, arg_max_null(sha1, k) AS sha1 FROM x GROUP BY path")
+def store_merge(spark, sf_dir):
+    """Two snapshots of one root merged in a store, and copied to another one."""
+    store, other = _store(spark), _store(spark)
+    b = basic.relativised(snapshot(spark, sf_dir, "docs_b").where("not contains(path, '/both_')"), "/mnt/b").withColumn("path", F.concat(F.lit("/mnt/a/"), "path"))
+    _kept(store, "a", snapshot(spark, sf_dir, "docs_a"), "/mnt/a")
+    _kept(store, "b", b, "/mnt/a")
+    store.merge(["a", "b"], "both")
+    return other.files(other.copy_from(store, "both")).select("path", "size_bytes", "sha1")
+
+
+@query(f"{_with('pages_f')} SELECT path, size_bytes, sha1 FROM pages_f WHERE size_bytes < 4000 UNION ALL SELECT path, 0, sha1 FROM pages_f WHERE size_bytes >= 4000")
+def store_stream(spark, sf_dir):
+    """A snapshot that follows a folder of listings: two rounds, in the second of which some paths come again."""
+    store, files, place = _store(spark), snapshot(spark, sf_dir, "pages_f").select("path", "size_bytes", "sha1", "md5"), shared_dir(spark)
+    s = store.create("pages", "/web")
+    for rows in (files, files.where("size_bytes >= 4000").withColumn("size_bytes", F.lit(0).cast("bigint"))):
+        rows.write.mode("append").parquet(f"{place}/in")
+        follow(spark, f"{place}/in", store, s, f"{place}/checkpoint").awaitTermination()
+    return store.files(store.finish(s)).select("path", "size_bytes", "sha1")
+
+
+@query(f"{_PAIR} SELECT DISTINCT path FROM pair WHERE path IN (SELECT up FROM pu)")
+def path_clashes(spark, sf_dir):
+    """Paths that are a file and a directory if two snapshots are taken as one."""
+    a, b = _sides(spark, sf_dir)
+    return basic.clashes(a.select("path").unionByName(b.select("path")))
+
+
+@query(f"{_with('docs_a', 'docs_b')} SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'Removed' WHEN a.path IS NULL THEN 'Added' WHEN a.md5 = b.md5 THEN 'Unchanged' ELSE 'Modified' END AS status FROM (SELECT substr(path, 8) AS path, md5 FROM docs_a) a FULL JOIN (SELECT substr(path, 8) AS path, md5 FROM docs_b) b ON a.path = b.path")
+def diff_pair_md5(spark, sf_dir):
+    return diff.pair(*_sides(spark, sf_dir), hash_type="md5").select("path", "status")
+
+
+@query(f"{_with('docs_a')} SELECT path, sha1 AS key FROM docs_a WHERE sha1 IS NOT NULL")
+def hash_keys(spark, sf_dir):
+    """Hashes as bytes and back."""
+    rows = snapshot(spark, sf_dir, "docs_a").where("sha1 is not null")
+    return rows.select("path", F.lower(F.hex(values.hash_bytes(F.col("sha1")))).alias("key"))
+
+
+@query(f"{_with('docs_b')}, {_NODES} SELECT count(*) AS n_groups, CAST(coalesce(sum(w), 0) AS BIGINT) AS wasted_bytes FROM (SELECT (n_members - 1) * max(size_bytes) AS w FROM d GROUP BY group_path, is_dir, n_members)")
+def dupes_total_wasted(spark, sf_dir):
+    return dupes.total_wasted(dupes.duplicates(snapshot(spark, sf_dir, "docs_b"), 1))
+
+
+@query(f"""{_ROLL}, v AS (SELECT dir, {_VERDICT} AS verdict, n_covered, n_uncovered + n_no_hash AS bad FROM roll),
+above AS (SELECT dir, {_UP} AS up FROM (SELECT dir, string_split(dir, '/') AS p FROM v WHERE dir <> '')),
+shown AS (SELECT * FROM v WHERE dir NOT IN (SELECT a.dir FROM above a JOIN v u ON a.up = u.dir WHERE u.verdict <> 'mixed' OR u.bad <= 3)),
+pd AS (SELECT *, CASE WHEN dir <> '' THEN regexp_extract(dir, '^(.*)/[^/]*$', 1) END AS parent FROM shown)
+SELECT c.parent AS path, count(*) AS n_dirs, CAST(sum(c.n_covered) AS BIGINT) AS n_covered FROM pd c JOIN shown p ON p.dir = c.parent WHERE c.verdict = 'covered' AND p.verdict = 'mixed' AND p.bad > 3 GROUP BY c.parent""")
+def coverage_report_folded(spark, sf_dir):
+    """Wholly covered directories that a report folds into one line each."""
+    return coverage.report(_tags(spark, sf_dir)).where("kind = 'folded'").select("path", "n_dirs", "n_covered")
+
+
 #: Queries that bench.py runs.
 HEADLINE = ("coverage_orders", "coverage_status", "coverage_rollup_lines", "dupes_highest", "merge_last_wins", "diff_pair_status", "upsert_latest", "diff_lines", "diff_orders")
