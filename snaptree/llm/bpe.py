@@ -17,6 +17,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from .common import col
+
 #: Distinct pre-tokens whose ids a worker remembers at most.
 MEMO = 600_000
 #: Keys in a bucket of the perfect hash, about.
@@ -152,19 +154,23 @@ def load(path: str) -> dict[bytes, int]:
 
 
 def encode(df: DataFrame, key: str, text: str, vocabulary: dict[bytes, int], pattern: str) -> DataFrame:
-    """key, ids binary, n_tokens, decoded binary for each row of df; null and empty texts give no ids."""
+    """key, n_tokens, ids binary, decoded binary for each row of df.
+
+    Null and empty texts give no ids and decode to nothing.  Repeated rows and null keys each get their own row, equal texts
+    equal ids; further columns are left out; an empty table gives an empty one.
+    """
     return _run(df, key, text, vocabulary, pattern, False)
 
 
 def digests(df: DataFrame, key: str, text: str, vocabulary: dict[bytes, int], pattern: str) -> DataFrame:
-    """key, n_tokens, ids_sha256 and decoded_sha256: as encode(), without carrying the ids on."""
+    """key, n_tokens, ids_sha256 and decoded_sha256 for each row of df: as encode(), without carrying the ids on."""
     return _run(df, key, text, vocabulary, pattern, True)
 
 
 def _run(df, key, text, vocabulary, pattern, short):
     # made once, from a fixed file of 50,256 entries (a few MB); a worker keeps what it remembers from task to task
     shared = df.sparkSession.sparkContext.broadcast(Codec(vocabulary, pattern))
-    kind = df.select(key).schema[0].dataType.simpleString()
+    kind = df.select(col(key)).schema[0].dataType.simpleString()
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256"] if short else [key, "n_tokens", "ids", "decoded"]
     types = [pa.int64(), pa.string(), pa.string()] if short else [pa.int64(), pa.binary(), pa.binary()]
 
@@ -181,4 +187,4 @@ def _run(df, key, text, vocabulary, pattern, short):
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, k) for v, k in zip((n, ids, back), types, strict=True))], names=names)
 
     end = "ids_sha256 string, decoded_sha256 string" if short else "ids binary, decoded binary"
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, {end}")
+    return df.select(col(key), col(text)).mapInArrow(run, f"`{key.replace('`', '``')}` {kind}, n_tokens bigint, {end}")

@@ -21,18 +21,22 @@ def op1_pii(spark, sf_dir):
 
 
 def op2_html(spark, sf_dir):
+    """The article of every page, from its whole html."""
     return html.extract(table(spark, sf_dir, "pages"))
 
 
 def op3_packing(spark, sf_dir):
+    """A packing plan of all documents into sequences of the permitted lengths."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op4_embeddings(spark, sf_dir):
+    """Links and components of all vectors at a cosine of 0.9."""
     return itq.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
 def op5_urls(spark, sf_dir):
+    """The verdict of the longest fitting rule for the url of every page."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return urlrules.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
@@ -55,11 +59,13 @@ def op6_warc(spark, sf_dir):
 
 
 def op7_quality(spark, sf_dir):
+    """Measures and verdict of every whole text."""
     q = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return q.select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "base_failed", "kept")
 
 
 def op8_bpe(spark, sf_dir):
+    """Digests of the ids and of the decoded bytes of every whole text."""
     import public_tokenizers
 
     ranks = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -67,10 +73,12 @@ def op8_bpe(spark, sf_dir):
 
 
 def op9_minhash(spark, sf_dir):
+    """Components of documents whose sets of three-word shingles overlap by 85 %."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
 def op10_lm(spark, sf_dir):
+    """Base score and score under the model of three words of every whole text."""
     return lm.score(table(spark, sf_dir, "documents"))
 
 

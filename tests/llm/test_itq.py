@@ -112,3 +112,11 @@ def test_planted_pairs_among_many(spark):
     have = np.array([got[i].n_links for i in range(len(x))])
     want = hit.sum(axis=1)
     assert (have <= want).all() and have.sum() >= 0.98 * want.sum() and (have > 0).sum() >= 0.98 * (want > 0).sum()
+
+
+def test_ties_and_copies_keep_the_least_key(spark):
+    """Vectors that are equal, or equal but for their length, are one component under its least key; a pair right at the threshold is linked."""
+    rows = [(7, [3.0, 4.0]), (3, [6.0, 8.0]), (5, [3.0, 4.0]), (3, [3.0, 4.0]), (9, [0.0, 1.0]), (11, [1.0, 0.0]), (12, [0.9, (1 - 0.81) ** 0.5 * (1 - 1e-12)])]
+    got = sorted((q.vec_id, q.component_id, q.kept) for q in itq.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), cosine=0.9).collect())
+    assert [x for x in got if x[0] in (3, 5, 7)] == [(3, 3, True), (3, 3, True), (5, 3, False), (7, 3, False)]
+    assert [x for x in got if x[0] in (11, 12)] == [(11, 3, False), (12, 3, False)] or [x for x in got if x[0] in (11, 12)] == [(11, 11, True), (12, 11, False)]

@@ -97,3 +97,11 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 9), (9, 7), (3, 3), (None, 5), (200, 150)]
     got = {q.id: q.component_id for q in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 100 for i in (*range(100, 161), 200)} | {7: 7, 9: 7}
+
+
+def test_very_long_texts(spark):
+    """Texts of half a million words are compared whole: those that differ only at their end are near, halves are not."""
+    long = " ".join(f"w{i % 70_001}x{i // 70_001}" for i in range(500_000))
+    docs = [(1, long), (2, long + " and an end"), (3, long[: len(long) // 2]), (4, None), (5, long)]
+    got = {q.doc_id: q.component_id for q in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}

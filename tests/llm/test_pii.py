@@ -1,12 +1,21 @@
 """Pseudonyms against a plain implementation of the network, and by what they must keep."""
 import hashlib
 import itertools
+import pathlib
+import random
 import re
+import sys
 from datetime import date
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from snaptree.llm import pii
+sys.path.insert(0, str(pathlib.Path(__file__).parent))
+
+import plain_pii  # noqa: E402
+
+from snaptree.llm import pii  # noqa: E402
 
 KEY = "a key for tests"
 
@@ -93,3 +102,51 @@ def test_long_secrets_and_cards_among_digits(spark):
     assert "5500 0000 0000 0004" not in got[14].text and "2024-01-02" not in got[15].text and "123-45-6789" not in got[16].text and "10.20.30.40" not in got[17].text
     assert got[21].text.startswith("id 77 ") and not any(x in got[21].text for x in ("3782-822463-10005", "31.12.1999")) and got[19].text != "1" * 40
     assert [got[i].n_found for i in (10, 11, 14, 15, 16, 17, 21)] == [1, 1, 2, 2, 2, 2, 3]
+
+
+def random_text(r):
+    """Values of all kinds, valid and not, among words and digits, with neighbours that may confuse."""
+    num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card(n=16):
+        body = r.choice("3456") + num(n - 2)
+        return body + plain_pii.luhn_check(body)
+
+    def account():
+        body = num(18)
+        return "DE" + f"{98 - plain_pii.mod97(body + 'DE00'):02}" + body
+
+    spaced = lambda s, k=4, by=" ": by.join(s[i : i + k] for i in range(0, len(s), k))
+    makers = [
+        lambda: card(), lambda: spaced(card()), lambda: spaced(card(), by="-"), lambda: card(r.choice([13, 15, 19])), lambda: num(r.randint(1, 22)), lambda: spaced(num(r.choice([12, 16, 20]))), lambda: account(), lambda: spaced(account()),
+        lambda: f"{r.choice(['ann', 'b.c', 'x', 'Zoë', 'a+b%1'])}@{r.choice(['example.org', 'mail.x-y.co', 'bad'])}", lambda: f"{r.randint(0, 300)}.{r.randint(0, 300)}.{r.randint(0, 255)}.{r.randint(0, 255)}",
+        lambda: f"{r.randint(1890, 2110)}-{r.randint(0, 13):02}-{r.randint(0, 32):02}", lambda: r.choice(["/", "."]).join([f"{r.randint(0, 32):02}", f"{r.randint(0, 32):02}", str(r.randint(1890, 2110))]),
+        lambda: f"{r.randint(0, 999):03}-{r.randint(0, 99):02}-{r.randint(0, 9999):04}", lambda: r.choice(["+1 (212) 555-0198", "+44 20 7946 0958", "(212) 555-0198", "212.555.0198", "+12125550198", "+4915112345678"]),
+        lambda: f"{r.choice(['password', 'Token', 'api_key', 'secret'])}{r.choice([': ', '=', ' = '])}{r.choice(['hunter2', chr(34) + 'q w' + chr(34), chr(39) + 'longer/value+1' + chr(39), 'deadbeef01', 'ABCDEF12', 'x' * 300])}",
+        lambda: "AKIA" + "".join(r.choice("ABCDEFGH01234") for _ in range(r.randint(10, 18))), lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.randint(28, 70))), lambda: r.choice(["word", "é", "x1", "No", "12/27", "v2.0"]),
+    ]
+    return "".join(r.choice(makers)() + r.choice([" ", " ", ", ", "\n", "; ", "-", ".", " \"", ""]) for _ in range(r.randint(1, 14)))
+
+
+def test_whole_operator_against_plain_python(spark):
+    r = random.Random(5)
+    texts = [None, "", *(random_text(r) for _ in range(1500))]
+    table = pathlib.Path("/root/testdata/sf0.001/documents.parquet")
+    if table.exists():
+        texts += [q.text for q in spark.read.parquet(f"file://{table}").select("text").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    got = {q.doc_id: (q.n_found, q.text) for q in pii.report(df, secret=KEY).collect()}
+    wrong = [(t, got[i], want) for i, t in enumerate(texts) if got[i] != (want := plain_pii.replaced(t, KEY))]
+    assert wrong[:3] == []
+    assert sum(n for n, _ in got.values()) > 3000
+
+
+def test_no_key_no_pseudonyms(spark):
+    df = spark.createDataFrame([("a",)], "text string")
+    with pytest.raises(ValueError, match="need a key"):
+        pii.pseudonymise(df)
+    spark.conf.set(pii.KEY_SETTING, "k")
+    try:
+        assert pii.pseudonymise(df).first()["text"] == "a"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)

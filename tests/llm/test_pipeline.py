@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
+import plain_pii  # noqa: E402
 import test_minhash  # noqa: E402
+import test_quality  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from snaptree.llm import quality, queries  # noqa: E402
+from snaptree.llm import packing, quality, queries  # noqa: E402
 
 
 def test_run(spark, tmp_path):
@@ -47,3 +49,32 @@ def test_extra_columns_and_nulls(spark, tmp_path, name):
         assert sorted(tuple(q) for q in got) == [(1, "www.example.com", "/en/x", "www.example.com/en/", "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow")]
     else:
         assert [(q.record_id, q.status) for q in got] == [(3, "corrupt")]
+
+
+def test_stages_on_documents_against_plain_python(spark, tmp_path):
+    """All four stages in plain Python over the smallest table: the rows that go on, their texts, and the bins."""
+    source = Path("/root/testdata/sf0.001/documents.parquet")
+    if not source.exists():
+        pytest.skip("no documents here")
+    df = spark.read.parquet(f"file://{source}")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = [(q.doc_id, q.text) for q in df.select("doc_id", "text").collect()]
+
+    def good(t):
+        n, chars, symbols, dup, lines, rep, stops, stop_words = test_quality.plain(t)
+        return n >= 50 and 100 * rep <= 50 * n and 3 <= chars / n <= 10 and symbols / n <= 0.1 and stops >= 2 and stop_words / n >= 0.05 and dup / lines <= 0.5
+
+    left = [(i, t) for i, t in docs if good(t)]
+    first = {i for i, (_, c) in test_minhash.classes(left, 5, 80).items() if i == c}
+    texts = {i: plain_pii.replaced(t, queries.pii_key(spark))[1] for i, t in left if i in first}
+    at = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = corpus_pipeline.saved(stage(spark, at, str(tmp_path)))
+        assert at.columns == df.columns, name
+    assert {q.doc_id: q.text for q in at.select("doc_id", "text").collect()} == texts and 0 < len(texts) < len(left) < len(docs)
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert got.groupby("doc_id").n_tokens.sum().to_dict() == {i: len(t.split()) + 1 for i, t in texts.items()}
+    for _, own in got.groupby("bin_id"):
+        own = own.sort_values("bin_offset")
+        fill = int(own.n_tokens.sum())
+        assert list(own.bin_offset) == [0, *own.n_tokens.cumsum()][:-1] and set(own.bin_fill) == {fill} and set(own.bin_size) == {min(s for s in packing.SIZES if s >= fill)}
