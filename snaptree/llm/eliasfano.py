@@ -20,8 +20,10 @@ class EliasFano:
         values = values.astype(U64, copy=False)
         n = len(values)
         bits = min(56, max(0, (max(1, universe) // max(1, n)).bit_length() - 1))
-        shape = ((values & U64((1 << bits) - 1))[:, None] >> np.arange(bits, dtype=U64)) & U64(1)
-        low = np.packbits(shape.astype(np.uint8).ravel(), bitorder="little")
+        places = np.arange(bits, dtype=U64)
+        # a bit takes eight bytes on its way, so few values at a time (a multiple of eight, which ends a byte)
+        parts = [np.packbits((((values[i : i + 16_384] & U64((1 << bits) - 1))[:, None] >> places) & U64(1)).astype(np.uint8).ravel(), bitorder="little") for i in range(0, n, 16_384)]
+        low = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint8)
         top = (values >> U64(bits)).astype(np.int64)
         unary = np.zeros(n + (int(top[-1]) if n else 0) + 1, dtype=np.uint8)
         unary[top + np.arange(n)] = 1

@@ -18,6 +18,7 @@ shards is sent the pair's whole count.
 """
 from __future__ import annotations
 
+import ctypes
 import math
 import struct
 import tempfile
@@ -33,7 +34,7 @@ from .eliasfano import U64, Trie, probability, quantise
 from .minhash import mix
 
 #: Weight of the shorter context, by order; bytes of text in a chunk and for each shard, about.
-MASS, CHUNK_BYTES, SHARD_BYTES = {2: 20.0, 3: 10.0, 4: 10.0, 5: 10.0}, 8_000_000, 16_000_000
+MASS, CHUNK_BYTES, SHARD_BYTES = {2: 20.0, 3: 10.0, 4: 10.0, 5: 10.0}, 8_000_000, 11_000_000
 #: Tokens of a word from which it is split, into parts of about so many.
 HOT = 2_000_000
 #: Distinct words that a task counts before it passes them on.
@@ -142,60 +143,59 @@ class Grams:
 
     def __init__(self, ids: np.ndarray, starts: np.ndarray, train: np.ndarray, order: int, shards: int, hot: Hot):
         n = len(ids)
-        left = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) - np.arange(n)  # tokens from here to the text's end
+        left = (np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) - np.arange(n)).astype(np.int32)  # tokens from here to the text's end
         vocabulary, word = np.unique(ids, return_inverse=True)
-        known = hot.of(vocabulary)
+        word, size = word.astype(np.int32), max(1, len(vocabulary))
         self.vocabulary, self.word = vocabulary, word
-        nxt = np.append(np.arange(1, n), n - 1) if n else np.empty(0, dtype=np.int64)
-        nxt2 = nxt[nxt] if n else nxt
-        # parts by the second word, and of pairs of two split words by the third
-        parts = np.maximum(1, -(-known // hot.part))
-        second = np.where(left > 1, (vocabulary[word[nxt]] >> U64(7)) % parts[word].astype(U64), 0).astype(U64)
-        pair = np.where((left > 1) & (known[word] > 0) & (known[word[nxt]] > 0), np.minimum(parts[word], parts[word[nxt]]), 1) if order > 2 else np.ones(n, dtype=np.int64)
-        third = np.where(left > 2, (vocabulary[word[nxt2]] >> U64(9)) % pair.astype(U64), 0).astype(U64)
-        shard = shard_of(ids, second, third, shards)
+        nxt = np.append(np.arange(1, n, dtype=np.int32), np.int32(n - 1)) if n else np.empty(0, dtype=np.int32)
+        # each word has a place of its own, for its count and, if it is not split, for all that follows it
+        own = shard_of(vocabulary, U64(0), U64(0), shards) * size + np.arange(len(vocabulary))
+        # split words are dealt by the second word, and pairs of two of them by the third
+        parts = np.maximum(1, -(-hot.of(vocabulary) // hot.part))
+        often = parts > 1
+        split = np.flatnonzero(often[word] & (left > 1))
+        w, second = word[split], word[nxt[split]]
+        by_second = (vocabulary[second] >> U64(7)) % parts[w].astype(U64)
+        pair = np.where(often[second], np.minimum(parts[w], parts[second]), 1) if order > 2 else np.ones(len(split), dtype=np.int64)
+        third = word[nxt[nxt[split]]]
+        by_third = np.where(left[split] > 2, (vocabulary[third] >> U64(9)) % pair.astype(U64), U64(0))
+        mine = shard_of(vocabulary[w], by_second, by_third, shards) * size + w
         # all shards of a split pair get its whole count, also those that hold none of its windows here
-        split = np.flatnonzero((pair > 1) & (left > 1))
-        more_shard, more_word, more_next, more_count = (np.empty(0, dtype=np.int64),) * 4
-        if len(split):
-            both = word[split].astype(np.int64) * len(vocabulary) + word[nxt[split]]
-            _, first, inverse = np.unique(both, return_index=True, return_inverse=True)
-            total = np.bincount(inverse, train[split]).astype(np.int64)
-            k = pair[split[first]]
-            p = np.repeat(split[first], k)
-            r = (np.arange(len(p)) - np.repeat(np.cumsum(k) - k, k)).astype(U64)
-            more_shard, more_word, more_next, more_count = shard_of(ids[p], second[p], r, shards), word[p], word[nxt[p]], np.repeat(total, k)
-        # roots: where windows start, and each word once in its own place, for its count
-        own = shard_of(vocabulary, U64(0), U64(0), shards)
-        key = lambda s, w: s.astype(np.int64) * len(vocabulary) + w
-        roots, inverse = np.unique(np.concatenate([key(shard, word), key(more_shard, more_word), key(own, np.arange(len(vocabulary)))]), return_inverse=True)
-        self.own = inverse[n + len(more_word) :]
+        many = np.flatnonzero(pair > 1)
+        both = w[many].astype(np.int64) * size + second[many]
+        _, first, inverse = np.unique(both, return_index=True, return_inverse=True)
+        total = np.bincount(inverse, train[split[many]], len(first)).astype(np.int64)
+        k = pair[many[first]]
+        p = np.repeat(many[first], k)
+        r = (np.arange(len(p)) - np.repeat(np.cumsum(k) - k, k)).astype(U64)
+        more_next, more_count = second[p], np.repeat(total, k)
+        roots, inverse = np.unique(np.concatenate([own, mine, shard_of(vocabulary[w[p]], by_second[p], r, shards) * size + w[p]]), return_inverse=True)
+        self.own, extra = inverse[: len(own)], inverse[len(own) + len(mine) :]
         counts = np.zeros(len(roots), dtype=np.int64)
         counts[self.own] = np.bincount(word, train, len(vocabulary)).astype(np.int64)
-        self.at, self.count, self.levels, self.parents = [inverse[:n]], [counts], [roots % max(1, len(vocabulary))], []
-        shard_at = roots // max(1, len(vocabulary))
-        self.bounds = [np.searchsorted(shard_at, np.arange(shards + 1))]
+        at = self.own.astype(np.int32)[word]
+        at[split] = inverse[len(own) : len(own) + len(mine)]
+        self.at, self.count, self.levels, self.parents = [at], [counts], [roots % size], []
+        self.bounds = [np.searchsorted(roots // size, np.arange(shards + 1))]
+        del split, w, second, third, by_second, by_third, mine, many, both, inverse
         above, reach = self.at[0], nxt
-        extra = inverse[n : n + len(more_word)]
         for k in range(1, order):
             there = np.flatnonzero(left > k)
-            mine = above[there].astype(np.int64) * len(vocabulary) + word[reach[there]]
-            with_extra = np.concatenate([mine, extra.astype(np.int64) * len(vocabulary) + more_next]) if k == 1 else mine
+            mine = above[there].astype(np.int64) * size + word[reach[there]]
+            with_extra = np.concatenate([mine, extra * size + more_next]) if k == 1 else mine
             nodes, inverse = np.unique(with_extra, return_inverse=True)
             counts = np.bincount(inverse[: len(there)], train[there], len(nodes)).astype(np.int64)
             if k == 1 and len(more_next):
                 counts[inverse[len(there) :]] = more_count
-            at = np.full(n, -1, dtype=np.int64)
+            at = np.full(n, -1, dtype=np.int32)
             at[there] = inverse[: len(there)]
-            parent = nodes // max(1, len(vocabulary))
+            parent = nodes // size
             self.parents.append(parent)
-            self.levels.append(nodes - parent * max(1, len(vocabulary)))
+            self.levels.append(nodes - parent * size)
             self.at.append(at)
             self.count.append(counts)
             self.bounds.append(np.searchsorted(parent, self.bounds[-1]))
             above, reach = at, nxt[reach]
-        self.left = left
-
     def trie(self, s: int) -> bytes:
         """The nodes of a shard with their counts; nothing if there are none."""
         if self.bounds[0][s] == self.bounds[0][s + 1]:
@@ -209,7 +209,7 @@ class Grams:
             used[w] = True
         number = np.cumsum(used) - 1
         trie = Trie.of(self.vocabulary[used] >> U64(32), self.vocabulary[self.levels[0][cut(0)]], parents, [number[w] for w in words], [[_small(x[cut(k)])] for k, x in enumerate(self.count)], linked=False)
-        return zstandard.ZstdCompressor(level=1).compress(trie.tobytes())
+        return zstandard.ZstdCompressor(level=3).compress(trie.tobytes())
 
 
 def _small(counts: np.ndarray) -> np.ndarray:
@@ -272,7 +272,7 @@ def answer(model: Trie, asked: Trie) -> bytes:
             got = np.where(place >= 0, x[np.maximum(place, 0)], none) if len(x) else np.full(len(place), none)
             got = _small(got) if k == 0 and i == 0 else got.astype("<u2")
             out.append(got.dtype.str.encode().ljust(4) + struct.pack("<Q", got.nbytes) + got.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def answered(body: bytes) -> list[np.ndarray]:
@@ -331,7 +331,7 @@ def _chunked(chunk_bytes: int):
         def chunk():
             raw = b"\n".join([*texts, b""])
             ends = np.cumsum([len(t) + 1 for t in texts]).astype("<i8")
-            row = [[(part << 32) + number], [ids], [held], [ends.tobytes()], [zstandard.ZstdCompressor(level=1).compress(raw)]]
+            row = [[(part << 32) + number], [ids], [held], [ends.tobytes()], [zstandard.ZstdCompressor(level=3).compress(raw)]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "ids", "held", "ends", "body"])
 
@@ -345,6 +345,7 @@ def _chunked(chunk_bytes: int):
                     ids, held, texts, size, number = [], [], [], 0, number + 1
         if ids:
             yield chunk()
+        _freed()
 
     return run
 
@@ -372,6 +373,15 @@ def opened(body: bytes) -> list[tuple[int, bytes]]:
 _SENT = "at bigint, block bigint, source bigint, body binary"
 
 
+def _freed() -> None:
+    """Gives memory that is no longer used back to the system, as a worker may be idle for long."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def _row(at: int, block: int, source: int, body: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([block], pa.int64()), pa.array([source], pa.int64()), pa.array([body], pa.binary())], names=["at", "block", "source", "body"])
 
@@ -413,6 +423,7 @@ def _vocabulary(df: DataFrame, hot: int) -> tuple[int, int, dict[int, int]]:
                 yield from sent(seen, count)
                 seen, count = seen[:0], count[:0]
         yield from sent(seen, count)
+        _freed()
 
     def sent(seen, count):
         for a in range(0, len(seen), 50_000):
@@ -454,17 +465,23 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 3
                         yield _row(first // per, _mixed(row["chunk"]) % blocks, row["chunk"], parcel(own))
                     elif own:
                         yield _row(own[0][0], row["chunk"], row["chunk"], parcel([(row["chunk"], own[0][1])]))
+                del g
+        _freed()
 
-    def look_up(table: pa.Table) -> pa.Table:
-        shard = table.column("at")[0].as_py()
-        parcels = [opened(x) for x in table.column("body").to_pylist()]
-        asked = [asked_for(body) for own in parcels for _, body in own]
-        with tempfile.TemporaryDirectory() as folder:  # the task's own, gone when it ends
-            model = shard_model(asked, shared.value, order).save(f"{folder}/trie")
-            told = (answer(model, x) for x in asked)
-            out = [parcel([(chunk, next(told)) for chunk, _ in own]) for own in parcels]
-            del model
-        return pa.table({"at": pa.array([shard // per] * len(out), pa.int64()), "block": table.column("block"), "source": pa.array([shard] * len(out), pa.int64()), "body": pa.array(out, pa.binary())})
+    def look_up(batches):
+        by: dict[int, list] = {}  # one shard, as a rule
+        for b in batches:
+            for at, block, body in zip(b.column("at").to_pylist(), b.column("block").to_pylist(), b.column("body"), strict=True):
+                by.setdefault(at, []).append((block, [(chunk, asked_for(x)) for chunk, x in opened(body.as_py())]))
+        for shard in list(by):
+            own = by.pop(shard)
+            with tempfile.TemporaryDirectory() as folder:  # the task's own, gone when it ends
+                model = shard_model([t for _, parcels in own for _, t in parcels], shared.value, order).save(f"{folder}/trie")
+                for block, asked in own:
+                    yield _row(shard // per, block, shard, parcel([(chunk, answer(model, t)) for chunk, t in asked]))
+                    asked.clear()
+                del model
+        _freed()
 
     def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
         row = docs.to_pylist()[0]
@@ -473,6 +490,8 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 3
         got = ((i if routed else shard, answered(y)) for shard, x in rows for i, y in opened(x.as_py()))
         base, full, known = scores(g, starts, n_words, got, order, total, distinct, shared.value)
         n = len(row["ids"])
+        del g
+        _freed()
         return pa.table({"id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(n_words + 1, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(full)})
 
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -481,7 +500,8 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 3
     asked = dealt.mapInArrow(request, _SENT)
     if routed:
         asked = relayed(asked, max(least, chunks // 2))
-    answers = asked.repartition(max(least, shards), "at").groupBy("at").applyInArrow(look_up, _SENT)
+    # a task for each shard
+    answers = asked.repartitionById(max(least, shards), F.col("at").cast("int")).mapInArrow(look_up, _SENT)
     # a straight answer's block is its chunk
     answers = relayed(answers, max(least, chunks // 2)).withColumnRenamed("at", "chunk") if routed else answers.select(F.col("block").alias("chunk"), "source", "body")
     kinds = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
