@@ -17,3 +17,14 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="module")
+def quick(spark):
+    """For tests of many small plans: they are run without compiling each of them."""
+    own = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k in own:
+        spark.conf.unset(k)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from snaptree import plans
 from snaptree.operators import basic, coverage, diff
 
+pytestmark = pytest.mark.usefixtures("quick")
+
 SCHEMA = "path string, size_bytes bigint, sha1 string, md5 string"
 
 

@@ -10,6 +10,8 @@ from snaptree.sources.store import Store
 
 FILES = "path string, size_bytes bigint, sha1 string, md5 string"
 
+pytestmark = pytest.mark.usefixtures("quick")
+
 
 @pytest.fixture(scope="module")
 def store(spark, tmp_path_factory):

@@ -9,6 +9,8 @@ from snaptree.operators import basic, coverage
 from snaptree.sources import legacy, scan, sqlite
 from snaptree.sources.store import Store
 
+pytestmark = pytest.mark.usefixtures("quick")
+
 
 def rows(df, *names):
     return sorted(tuple(r) for r in df.select(*names).collect())
