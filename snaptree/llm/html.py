@@ -173,9 +173,12 @@ def _fused(found: list, width: int) -> list[float]:
             k = 0  # what both start with does not count
             while k < min(len(a), len(b)) and a[k] == b[k]:
                 k += 1
-            # beyond eight steps a neighbour counts for nothing
-            far = max(len(a), len(b)) - k > 64 or abs(len(a) - len(b)) > 8
-            weights[p, q] = weights[q, p] = 0.0 if far else DECAY ** -_distance(tuple(a[k:]), tuple(b[k:]))
+            z = 0  # nor what both end in
+            while z < min(len(a), len(b)) - k and a[-1 - z] == b[-1 - z]:
+                z += 1
+            # very different paths, which a deep page may have many of, count for nothing
+            far = max(len(a), len(b)) - k - z > 16
+            weights[p, q] = weights[q, p] = 0.0 if far else DECAY ** -_distance(tuple(a[k : len(a) - z]), tuple(b[k : len(b) - z]))
         return weights[p, q]
 
     out = []
