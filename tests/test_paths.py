@@ -41,12 +41,12 @@ def test_sizes_and_globs(spark):
     assert values.format_bytes(1536) == "1.5 KB" and values.format_bytes(12) == "12 B"
     with pytest.raises(ValueError):
         values.parse_size("ten")
-    names = ["file1.txt", "FILE2.TXT", "other.go", "subfile.txt", "a-b", "a]"]
+    names = ["plan7.csv", "PLAN8.CSV", "notes.md", "oldplan.csv", "a-b", "a]"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     find = lambda g, cs=False: [r.n for r in df.where(values.matches_glob(F.col("n"), g, cs)).collect()]
-    assert find("*.txt") == ["file1.txt", "FILE2.TXT", "subfile.txt"] and find("*.txt", True) == ["file1.txt", "subfile.txt"]
-    assert find("file?.txt") == ["file1.txt", "FILE2.TXT"]
-    assert find("*[0-9].txt", True) == ["file1.txt"] and find("[^f]*", True) == ["FILE2.TXT", "other.go", "subfile.txt", "a-b", "a]"]
+    assert find("*.csv") == ["plan7.csv", "PLAN8.CSV", "oldplan.csv"] and find("*.csv", True) == ["plan7.csv", "oldplan.csv"]
+    assert find("plan?.csv") == ["plan7.csv", "PLAN8.CSV"]
+    assert find("*[0-9].csv", True) == ["plan7.csv"] and find("[^p]*", True) == ["PLAN8.CSV", "notes.md", "oldplan.csv", "a-b", "a]"]
     assert find("a\\-b") == ["a-b"] and find("a[\\]\\-]*") == ["a-b", "a]"]
     for bad in ("[a", "[]a]", "[a-]", "[-a]", "a\\"):
         with pytest.raises(ValueError):
