@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import bpe, html, itq, lm, minhash, packing, pii, quality, urlrules, warc
-from .common import saved, table
+from .common import cleaned, saved, table
 
 #: The rules of op5 (fixed values).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -41,6 +41,7 @@ def op5_urls(spark, sf_dir):
     return urlrules.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+@cleaned
 def op6_warc(spark, sf_dir):
     """Audits the WARC files of all pages against a replica of them.
 
