@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from snaptree.llm import minhash, packing, pii, quality
-from snaptree.llm.common import saved, table
+from snaptree.llm.common import cleaned, saved, table
 from snaptree.llm.queries import pii_key
 
 
@@ -40,7 +40,9 @@ STAGES = [("quality", quality_rules), ("near_dedup", near_dedup), ("pii", person
 ORACLE_SQL = None
 
 
+@cleaned
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing plan of documents after all stages; the tables between the stages are removed."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
